@@ -10,6 +10,7 @@ from . import mixing, warc
 from .bpe import encode_documents
 from .embedding_dedup import embedding_components
 from .simhash import simhash_components
+from .suffix_dedup import remove_repeats
 from .topk import top_inner_products
 from .toxicity import score_toxicity
 from .url_filter import judge_urls
@@ -32,6 +33,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"), length=200)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"), radius=4, words=4, seed=42)
 
@@ -57,6 +62,7 @@ QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_topk": op2_topk,
     "op3_bpe": op3_bpe,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash": op5_simhash,
     "op6_warc": op6_warc,
     "op7_toxicity": op7_toxicity,

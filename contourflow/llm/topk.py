@@ -150,7 +150,7 @@ def top_inner_products(
     """
     rows = checkpoint(integers(vectors, id_col, vec_col, factor).withColumn("key", F.monotonically_increasing_id()))
     n = rows.count()
-    queries = rows.where(query)
+    queries = rows.where(query).toDF(*rows.columns)  # attributes of its own, to meet its own table
     blocks = max(1, math.ceil(n / BLOCK_ROWS))
     ranges = min(MOST_RANGES, blocks)
     cuts = rows.approxQuantile("norm", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if n and ranges > 1 else []

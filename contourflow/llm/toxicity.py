@@ -10,16 +10,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ORDER = 6
-DISCOUNT = 0.75
-#: Bytes of a window and its step, for the most suspicious passage of a text.
-WINDOW, STEP = 96, 24
-SLOTS = 1 << 21
+ORDER = 7
+#: Absolute discount of a class's own counts, weight of the shared model, and discount of the shared counts.
+DISCOUNT, SHARED_WEIGHT, SHARED_DISCOUNT = 2.0, 5.0, 0.75
+#: A word's log-likelihood ratio counts as evidence above so many nats.
+NOISE = 2.0
+SLOT_BITS = 21
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_KEEP = np.array([(1 << 8 * min(k + 1, ORDER)) - 1 for k in range(64)], np.uint64)
 
 
 def grams(text: str | None) -> np.ndarray:
-    """The six-byte grams of a text, lower-cased and with white space folded, as integers; one for each byte."""
+    """For each byte of a text, lower-cased and with white space folded, the byte and what precedes it in its word.
+
+    At most ``ORDER`` bytes; the space that ends a word belongs to it.
+    """
     folded = " ".join((text or "").lower().split())
     if not folded:
         return np.empty(0, np.uint64)
@@ -27,7 +32,9 @@ def grams(text: str | None) -> np.ndarray:
     g = np.zeros(len(b) - ORDER, np.uint64)
     for k in range(ORDER):
         g = g << np.uint64(8) | b[1 + k : len(b) - ORDER + 1 + k]
-    return g
+    at = np.arange(len(g))
+    word = np.maximum.accumulate(np.where(b[ORDER - 1 : -1] == 32, at, 0))
+    return g & _KEEP[np.minimum(at - word, 63)]
 
 
 def _shared(distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,67 +53,58 @@ def _shared(distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ctx, at = np.unique(keys >> np.uint64(8), return_inverse=True)
         total, kinds = np.bincount(at, n, len(ctx)), np.bincount(at, minlength=len(ctx))
         low = np.full(len(keys), 1 / 256) if below is None else below[1][np.searchsorted(below[0], keys & np.uint64((1 << 8 * (k - 1)) - 1))]
-        below = keys, np.maximum(n - DISCOUNT, 0) / total[at] + DISCOUNT * kinds[at] / total[at] * low
+        below = keys, np.maximum(n - SHARED_DISCOUNT, 0) / total[at] + SHARED_DISCOUNT * kinds[at] / total[at] * low
     return below
 
 
 @dataclass
 class Model:
-    """Log-likelihood ratios (toxic over ordinary): of known grams, and of the backoff weight of known contexts."""
+    """Log-likelihood ratios (toxic over ordinary) of known grams in a hash table; others say nothing."""
 
     ratio: np.ndarray
-    gram: np.ndarray
-    context_ratio: np.ndarray
-    context: np.ndarray
-
-    def ratios(self, g: np.ndarray) -> np.ndarray:
-        at = (g * _MIX >> np.uint64(43)).astype(np.int64)
-        c = g >> np.uint64(8)
-        back = (c * _MIX >> np.uint64(43)).astype(np.int64)
-        return np.where(
-            self.gram[at] == (g & np.uint64(0xFFFFFFFF)).astype(np.uint32),
-            self.ratio[at],
-            np.where(self.context[back] == (c & np.uint64(0xFFFFFFFF)).astype(np.uint32), self.context_ratio[back], np.float32(0)),
-        )
+    check: np.ndarray
 
     def features(self, text: str | None) -> tuple[float, float]:
-        """Length-normalised log-likelihood ratio of a whole text and of its highest window."""
+        """Length-normalised evidence of a whole text, on a root scale, and that of its three most telling words."""
         g = grams(text)
         if not len(g):
             return 0.0, 0.0
-        total = np.concatenate([[0.0], np.cumsum(self.ratios(g), dtype=np.float64)])
-        starts = np.arange(0, max(1, len(g) - WINDOW + STEP), STEP)
-        ends = np.minimum(starts + WINDOW, len(g))
-        return total[-1] / len(g), float(((total[ends] - total[starts]) / WINDOW).max())
+        at, check = _place(g)
+        total = np.concatenate([[0.0], np.cumsum(np.where(self.check[at] == check, self.ratio[at], np.float32(0)), dtype=np.float64)])
+        ends = np.flatnonzero(g & np.uint64(255) == 32) + 1
+        words = np.diff(total[ends], prepend=0.0)
+        top = np.partition(words, len(words) - 3)[-3:] if len(words) > 3 else words
+        return float(np.sqrt(np.maximum(words - NOISE, 0).sum() / (len(words) + 10))), float(np.maximum(top, 0).sum() / 30)
 
 
-def _table(keys: np.ndarray, values: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A fixed-size table by hash; of colliding keys the heaviest stays."""
-    order = np.argsort(weight, kind="stable")
-    keys, values = keys[order], values[order]
-    at = (keys * _MIX >> np.uint64(43)).astype(np.int64)
-    ratio, check = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.uint32)
-    ratio[at], check[at] = values, (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    return ratio, check
+def _place(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = g * _MIX
+    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
 def fit_model(keys: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> Model:
-    """Kneser-Ney models of both classes from counts of distinct six-byte grams.
+    """Kneser-Ney models of both classes from the numbers of documents that hold each distinct gram.
 
-    The highest order has each class's own counts; all lower orders are shared, so an expression that is
-    rare in both classes falls back to the same probability and says nothing.
+    Each class discounts its own counts and falls back to the shared model: Kneser-Ney over both classes'
+    counts, with continuation counts at the lower orders. What is rare in a class gets nearly the shared
+    probability in both, and so says little.
     """
-    suffix, shared = _shared(keys)
-    low = shared[np.searchsorted(suffix, keys & np.uint64((1 << 8 * (ORDER - 1)) - 1))]
+    suffix, low = _shared(keys)
+    low = low[np.searchsorted(suffix, keys & np.uint64((1 << 8 * (ORDER - 1)) - 1))]
     ctx, at = np.unique(keys >> np.uint64(8), return_inverse=True)
-    logs, back = [], []
-    for count in (toxic.astype(np.float64), ordinary.astype(np.float64)):
-        total, kinds = np.bincount(at, count, len(ctx)), np.bincount(at, count > 0, len(ctx))
-        gamma = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-        logs.append(np.log(np.maximum(count - DISCOUNT, 0) / np.maximum(total[at], 1) + gamma[at] * low))
-        back.append(np.log(gamma))
     both = (toxic + ordinary).astype(np.float64)
-    return Model(*_table(keys, logs[0] - logs[1], both), *_table(ctx, back[0] - back[1], np.bincount(at, both, len(ctx))))
+    total, kinds = np.bincount(at, both), np.bincount(at)
+    shared = np.maximum(both - SHARED_DISCOUNT, 0) / total[at] + (SHARED_DISCOUNT * kinds / total)[at] * low
+    logs = []
+    for count in (toxic.astype(np.float64), ordinary.astype(np.float64)):
+        mass, left = np.bincount(at, count), np.bincount(at, np.minimum(count, DISCOUNT))
+        own = np.maximum(count - DISCOUNT, 0) + (left[at] + SHARED_WEIGHT) * shared
+        logs.append(np.log(own / (mass[at] + SHARED_WEIGHT)))
+    order = np.argsort(both, kind="stable")  # of grams that collide the heaviest stays
+    place, check = _place(keys[order])
+    ratio, checks = np.zeros(1 << SLOT_BITS, np.float32), np.zeros(1 << SLOT_BITS, np.uint32)
+    ratio[place], checks[place] = (logs[0] - logs[1])[order], check
+    return Model(ratio, checks)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -132,7 +130,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, docs_per_class: int = 800
 
     Learns ``labels.toxic`` (0 or 1) from rows whose CRC-32 of the id's text is not divisible by five, at
     most ``docs_per_class`` of each class by lowest hash of the id: the documented bound of the training
-    sample, and with it of what is broadcast. At most ``most_grams`` six-byte grams, by count, enter the
+    sample, and with it of what is broadcast. At most ``most_grams`` grams, by count, enter the
     model. Every whole text is then scored in one pass without a shuffle: the toxic and the ordinary
     model's log-likelihoods are compared per byte over the text and over its most suspicious window, and a
     logistic function, fitted on halves of the sample scored by the other half's model, maps both to (0, 1).
@@ -155,7 +153,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, docs_per_class: int = 800
             text = batch.column(2).to_pylist()
             for c in (0, 1):
                 for f in (0, 1):
-                    got = [grams(text[i]) for i in np.flatnonzero((cls == c) & (fold == f))]
+                    got = [np.unique(grams(text[i])) for i in np.flatnonzero((cls == c) & (fold == f))]
                     if got:
                         g, n = np.unique(np.concatenate(got), return_counts=True)
                         yield pa.RecordBatch.from_pydict({"gram": g.view(np.int64), "kind": np.full(len(g), 2 * c + f, np.int32), "n": n})
