@@ -185,7 +185,8 @@ class Known:
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` (and ``ids`` on demand) for every row of ``docs``.
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` (and on demand ``ids``, as
+    little-endian unsigned 32-bit integers) for every row of ``docs``.
 
     Each match of ``pattern`` in a whole text (null: empty) is a word of its own; no special tokens. A
     worker splits texts and hands on the words that are new to it; JVM higher-order functions fold the
@@ -260,8 +261,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
                     out["n_tokens"].append(end - start)
                     out["ids_sha256"].append(hashlib.sha256(ids.tobytes()).hexdigest())
                     out["decoded_sha256"].append(hashlib.sha256(b"".join(map(piece, ids.tolist()))).hexdigest())
-                    out["ids"].append(ids.astype(np.int32) if with_ids else None)
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
+                    out["ids"].append(ids.tobytes() if with_ids else None)
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
                 names = list(out) if with_ids else list(out)[:-1]
                 yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in zip(names, kinds, strict=False)], names)
 
@@ -271,7 +272,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
         return F.transform("words", word)
 
     split_schema = "epoch int, words array<array<bigint>>, long_ids array<binary>, docs binary, doc_id array<bigint>, ends array<bigint>"
-    out_schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    out_schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     encoded = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(split, split_schema).select(
         "epoch",
         _let(rank_map(ranks), encode).alias("ids"),
@@ -289,6 +290,6 @@ def decode_ids(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> Dat
 
     @F.pandas_udf("binary")
     def decode(ids):
-        return ids.map(lambda x: None if x is None else b"".join([pieces[int(i)] for i in x]))
+        return ids.map(lambda x: None if x is None else b"".join([pieces[i] for i in np.frombuffer(x, "<u4").tolist()]))
 
     return encoded.withColumn("decoded", decode(F.col(ids_col)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import mixing, warc
 from .bpe import encode_documents
 from .embedding_dedup import embedding_components
+from .paragraph_dedup import paragraph_duplicates
 from .simhash import simhash_components
 from .suffix_dedup import remove_repeats
 from .topk import top_inner_products
@@ -58,6 +59,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_duplicates(_table(spark, sf_dir, "documents"), threshold=0.8, shingle=5)
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_topk": op2_topk,
@@ -68,6 +73,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
     "op9_url_filter": op9_url_filter,
+    "op10_paragraph_dedup": op10_paragraph_dedup,
 }
 
 ORACLE_SQL = {"op6_warc": warc.SQL, "op8_mixing": mixing.SQL}

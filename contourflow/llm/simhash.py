@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, forest
+from .common import checkpoint, components, forest, keyed_documents
 
 #: Variants that a worker holds at once; above it a bin is split by one more leading bit.
 MOST_VARIANTS = 3_000_000
@@ -49,15 +49,16 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp)`` for every row; ``fp`` is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``(*keys, fp)``, all long, for every row; ``fp`` is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(x, words, seed) for x in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.array([fingerprint(x, words, seed) for x in batch.column(len(keys)).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(fp.view(np.int64))], [*keys, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    schema = "".join(f"{k} long, " for k in keys) + "fp long"
+    return docs.select(*[F.col(k).cast("long").alias(k) for k in keys], "text").mapInArrow(run, schema)
 
 
 def _balls(fps: np.ndarray, bin_: int, b: int, half: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,6 +127,28 @@ def near_pairs(distinct: DataFrame, radius: int = 4) -> DataFrame:
     return spread.groupBy("bin").applyInArrow(run, "a long, b long")
 
 
+def fingerprint_roots(fp: DataFrame, radius: int) -> DataFrame:
+    """``fp, low, root`` for each distinct fingerprint of ``fp(doc_id, fp)``: its smallest doc_id and its component."""
+    classes = fp.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    linked = components(near_pairs(classes.select("fp"), radius))
+    return classes.join(linked, classes.fp == linked.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
+def keep_representatives(docs: DataFrame, radius: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
+    """One row of ``docs`` for each component of :func:`simhash_components`, whole: that with the smallest doc_id.
+
+    Null ids come last; of rows that share the id the choice goes by a hash of the text, and rows repeated
+    as a whole count once.
+    """
+    keyed = keyed_documents(docs)
+    fp = checkpoint(fingerprints(keyed, words, seed, ("doc_id", "k1", "k2")))
+    labelled = fp.join(fingerprint_roots(fp, radius).select("fp", "root"), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2"))
+    kept = labelled.groupBy("root").agg(first.alias("first")).select("first.k1", "first.k2")
+    rows = keyed.join(kept, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return rows.select(*docs.columns)
+
+
 def simhash_components(docs: DataFrame, radius: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
     """``doc_id, fingerprint, component_id, kept`` for every row of ``docs``.
 
@@ -137,11 +160,7 @@ def simhash_components(docs: DataFrame, radius: int = 4, words: int = 4, seed: i
     one ``doc_id`` each get a row. Only ``doc_id`` and ``text`` are read; an empty table gives no rows.
     """
     fp = checkpoint(fingerprints(docs, words, seed))
-    classes = fp.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    linked = components(near_pairs(classes.select("fp"), radius))
-    roots = classes.join(linked, classes.fp == linked.node, "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root")
-    )
+    roots = fingerprint_roots(fp, radius)
     lowest = roots.groupBy("root").agg(F.min("low").alias("component_id"))
     labels = roots.join(lowest, "root").select("fp", "component_id")
     return fp.join(labels, "fp").select(

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, compressed, keyed_documents
 
 #: Bytes that are hashed to choose suffixes; every window of the wanted length holds a chosen one of its own.
 LEAD = 80
@@ -290,29 +290,9 @@ def find_repeats(keyed: DataFrame, length: int) -> DataFrame:
     )
 
 
-def compressed(keyed: DataFrame) -> DataFrame:
-    """``keyed`` with its text as ``z``, compressed, for a shuffle."""
-    rest = [c for c in keyed.columns if c != "text"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            z = [pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(len(rest)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(z, pa.binary())], [*rest, "z"])
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in keyed.select(*rest).dtypes)
-    return keyed.select(*rest, "text").mapInArrow(run, f"{schema}, z binary")
-
-
-def keyed_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``k1, k2``: 96 bits that tell texts and ids apart; rows repeated as a whole share them."""
-    return docs.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn(
-        "k2", F.hash("text", "doc_id").cast("long").bitwiseAND(F.lit(2**31 - 1))
-    )
-
-
-def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row (and ``text``, the bytes kept, on demand).
+def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``n_bytes, n_removed, n_spans, kept_sha256`` for every row (and ``text``, the bytes kept, on demand), after
+    the columns ``carry`` of ``docs``, which must not be named like these.
 
     Texts are UTF-8 bytes (null: empty). Each byte covered by a ``length``-byte string that also starts
     anywhere else, in the same text or another, is removed; strings are judged on the input and matches do
@@ -326,39 +306,46 @@ def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False)
     compared to their neighbours on both sides, and at the buckets' boundaries by digests of whole windows.
     Range partitioning splits leading bytes that very many suffixes share.
     """
-    keyed = keyed_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    keyed = keyed_documents(docs.select(*dict.fromkeys([*carry, "doc_id", "text"])))
     spans = find_repeats(keyed.select("k1", "k2", "text"), length)
     by_text = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    packed = compressed(keyed.select("doc_id", "k1", "k2", "text"))
-    joined = packed.join(by_text, ["k1", "k2"], "left").select("doc_id", "z", "spans.start", "spans.end")
+    packed = compressed(keyed.select(*carry, "k1", "k2", "text"))
+    joined = packed.join(by_text, ["k1", "k2"], "left").select(*carry, "z", "spans.start", "spans.end")
+    n = len(carry)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            out: dict[str, list] = {"doc_id": batch.column(0), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "text": []}
-            for z, start, end in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "text": []}
+            for z, start, end in zip(batch.column(n).to_pylist(), batch.column(n + 1), batch.column(n + 2), strict=True):
                 raw = unpack.decompress(z)
-                kept, removed, runs = raw, 0, []
-                if start.is_valid:
-                    s, e = start.values.to_numpy(), np.minimum(end.values.to_numpy(), len(raw))
-                    fits = e - s >= length
-                    s, e = s[fits], e[fits]
-                    order = np.argsort(s, kind="stable")
-                    s, e = s[order], np.maximum.accumulate(e[order]) if len(e) else e
-                    first = np.flatnonzero(np.r_[True, s[1:] > e[:-1]]) if len(s) else np.empty(0, np.int64)
-                    runs = list(zip(s[first].tolist(), e[np.r_[first[1:] - 1, len(e) - 1]].tolist(), strict=True)) if len(s) else []
-                if runs:
-                    edges = [0, *[x for run in runs for x in run], len(raw)]
-                    kept = b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
-                    removed = len(raw) - len(kept)
+                runs = _runs(start, end, len(raw), length)
+                edges = [0, *[x for run in runs for x in run], len(raw)]
+                kept = b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
                 out["n_bytes"].append(len(raw))
-                out["n_removed"].append(removed)
+                out["n_removed"].append(len(raw) - len(kept))
                 out["n_spans"].append(len(runs))
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                 out["text"].append(kept.decode("utf-8", "ignore") if with_text else None)
-            names = list(out) if with_text else list(out)[:-1]
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([out[c] if c == "doc_id" else pa.array(out[c], t) for c, t in zip(names, kinds, strict=False)], names)
-
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
-    return joined.mapInArrow(cut, schema)
+            if not with_text:
+                del out["text"]
+            kinds = {"kept_sha256": pa.string(), "text": pa.string()}
+            made = [pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], [*carry, *out])
+
+    before = "".join(f"`{c}` {t}, " for c, t in docs.select(*carry).dtypes)
+    return joined.mapInArrow(cut, before + "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text)
+
+
+def _runs(start: pa.Scalar, end: pa.Scalar, size: int, length: int) -> list[tuple[int, int]]:
+    """Maximal runs of spans, each cut to the text; what is then shorter than ``length`` is none."""
+    if not start.is_valid:
+        return []
+    s, e = start.values.to_numpy(), np.minimum(end.values.to_numpy(), size)
+    s, e = s[e - s >= length], e[e - s >= length]
+    if not len(s):
+        return []
+    order = np.argsort(s, kind="stable")
+    s, e = s[order], np.maximum.accumulate(e[order])
+    first = np.flatnonzero(np.r_[True, s[1:] > e[:-1]])
+    return list(zip(s[first].tolist(), e[np.r_[first[1:] - 1, len(e) - 1]].tolist(), strict=True))

@@ -125,8 +125,8 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, docs_per_class: int = 8000, most_grams: int = 1 << 20) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row of ``docs``.
+def with_toxicity(docs: DataFrame, labels: DataFrame, docs_per_class: int = 8000, most_grams: int = 1 << 20) -> DataFrame:
+    """The rows of ``docs`` with a column ``score`` (one of that name is replaced).
 
     Learns ``labels.toxic`` (0 or 1) from rows whose CRC-32 of the id's text is not divisible by five, at
     most ``docs_per_class`` of each class by lowest hash of the id: the documented bound of the training
@@ -137,8 +137,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, docs_per_class: int = 800
 
     Empty and null texts have neutral features and get the logistic's value for them. Null ids are scored
     and not held out; null or repeated labels are dropped or merged (any toxic label counts). If a class is
-    missing, nothing can be learned and every score is 0.0. Extra columns are ignored; an empty table gives
-    no rows.
+    missing, nothing can be learned and every score is 0.0. An empty table gives no rows.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -187,18 +186,30 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, docs_per_class: int = 800
         weights = logistic(got[["mean", "top"]].to_numpy(), got["y"].to_numpy().astype(np.float64))
         model = docs.sparkSession.sparkContext.broadcast(astuple(model_of(k[0] + k[1], k[2] + k[3])))
 
+    docs = docs.drop("score")
+    place = docs.columns.index("text")
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = None if model is None else Model(*model.value)
         for batch in batches:
             if fitted is None:
                 s = np.zeros(batch.num_rows)
             else:
-                x = np.array([fitted.features(t) for t in batch.column(1).to_pylist()]).reshape(-1, 2)
+                x = np.array([fitted.features(t) for t in batch.column(place).to_pylist()]).reshape(-1, 2)
                 s = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], [*batch.schema.names, "score"])
+
+    schema = "".join(f"`{c}` {t}, " for c, t in docs.dtypes)
+    return docs.mapInArrow(score, schema + "score double")
+
 
-    out = texts.mapInArrow(score, "doc_id long, score double")
-    return out.select(
+def score_toxicity(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` for every row of ``docs``; see :func:`with_toxicity`.
+
+    ``held_out`` says that the id's remainder kept its label from training; ``predicted`` is 1 from 0.5 on.
+    """
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    return with_toxicity(docs.select(doc_id, "text"), labels, **settings).select(
         "doc_id",
         F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
         "score",
