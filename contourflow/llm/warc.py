@@ -26,9 +26,9 @@ def _field(name: str) -> Column:
 def write_archive(pages: DataFrame, path: str, least_bytes: int = 100, date: str = "2024-01-01T00:00:00Z") -> None:
     """One WARC record per row of ``pages(page_id, url, html)``, as two tables below ``path``.
 
-    ``payloads(digest, payload)`` holds each distinct payload once (html in UTF-8; null: empty), addressed
-    by SHA-256; before anything is written, rows of one digest are verified to agree in length and in a
-    second hash. ``records(header)`` holds the exact header block of each record. Of records with equal
+    ``payloads(digest, payload, first_id)`` holds each distinct payload once (html in UTF-8; null: empty),
+    addressed by SHA-256, with the smallest page_id that has it; copies are combined before the shuffle, and
+    rows of one digest are verified to agree in length and in a second hash. ``records(header)`` holds the exact header block of each record. Of records with equal
     payloads of at least ``least_bytes`` the smallest page_id is the response and the others are revisits
     that refer to it; rows that share that page_id are responses too, as are all of a payload whose ids are
     all null (a null id beside others is a revisit). Shorter payloads are all responses. A null url has no
@@ -37,13 +37,13 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 100, date: str
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload")
     ).withColumn("digest", F.sha2("payload", 256))
-    light = rows.select("page_id", "url", "digest", F.length("payload").cast("long").alias("bytes"), F.xxhash64("payload").alias("second"))
-    same = (F.min("bytes") == F.max("bytes")) & (F.min("second") == F.max("second"))
-    first = light.groupBy("digest").agg(F.min("page_id").alias("first_id"), same.alias("same")).select(
-        "digest", F.when(F.col("same"), F.col("first_id")).otherwise(F.raise_error(F.lit("digest collision")).cast("long")).alias("first_id")
-    )
-    stored = rows.select("page_id", "digest", "payload").join(first, "digest").where(F.col("page_id").eqNullSafe(F.col("first_id")))
-    stored.dropDuplicates(["digest"]).select("digest", "payload").write.parquet(f"{path}/payloads")
+    second, size = F.xxhash64("payload"), F.length("payload")
+    same = (F.min(size) == F.max(size)) & (F.min(second) == F.max(second))
+    stored = rows.groupBy("digest").agg(F.first("payload").alias("payload"), F.min("page_id").alias("first_id"), same.alias("same"))
+    sound = F.when(F.col("same"), F.col("first_id")).otherwise(F.raise_error(F.lit("digest collision")).cast("long"))
+    stored.select("digest", "payload", sound.alias("first_id")).write.parquet(f"{path}/payloads")
+    first = pages.sparkSession.read.parquet(f"{path}/payloads").select("digest", "first_id")
+    light = rows.select("page_id", "url", "digest", F.length("payload").cast("long").alias("bytes"))
     again = (F.col("bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("first_id").isNotNull()
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     marked = light.join(first, "digest").withColumn("again", again)
@@ -83,7 +83,7 @@ def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     A revisit's record has no content, as in a WARC file, while ``payload`` is the one it refers to.
     """
     records = read_headers(spark.read.parquet(f"{path}/records"))
-    full = records.join(spark.read.parquet(f"{path}/payloads"), "digest")
+    full = records.join(spark.read.parquet(f"{path}/payloads").select("digest", "payload"), "digest")
     content = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
     return full.withColumn("record", F.concat(F.encode("header", "UTF-8"), content, F.lit(b"\r\n\r\n")))
 
