@@ -68,7 +68,7 @@ def rotations(rows: DataFrame) -> dict[int, np.ndarray]:
             yield pa.RecordBatch.from_pydict({"dim": np.full(len(i), d, np.int32), "i": i.astype(np.int32), "j": j.astype(np.int32), "g": g[i, j]})
 
     parts = rows.select("vec", "dim").mapInArrow(run, "dim int, i int, j int, g double")
-    table = parts.groupBy("dim", "i", "j").agg(F.sum("g").alias("g")).toPandas()
+    table = parts.groupBy("dim", "i", "j").agg(F.sum("g").alias("g")).toArrow().to_pandas()
     found = {}
     for d, part in table.groupby("dim"):
         g = np.zeros((d, d))

@@ -125,7 +125,7 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def with_toxicity(docs: DataFrame, labels: DataFrame, docs_per_class: int = 8000, most_grams: int = 1 << 20) -> DataFrame:
+def with_toxicity(docs: DataFrame, labels: DataFrame, docs_per_class: int = 8000, most_grams: int = 1 << 19) -> DataFrame:
     """The rows of ``docs`` with a column ``score`` (one of that name is replaced).
 
     Learns ``labels.toxic`` (0 or 1) from rows whose CRC-32 of the id's text is not divisible by five, at
@@ -158,11 +158,12 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, docs_per_class: int = 8000
                         yield pa.RecordBatch.from_pydict({"gram": g.view(np.int64), "kind": np.full(len(g), 2 * c + f, np.int32), "n": n})
 
     counts = picked.mapInArrow(count, "gram long, kind int, n long").groupBy("gram").pivot("kind", [0, 1, 2, 3]).agg(F.sum("n"))
-    counts = counts.select("gram", *[F.coalesce(F.col(f"`{i}`"), F.lit(0)).alias(f"k{i}") for i in range(4)])
-    table = counts.orderBy(F.desc(F.col("k0") + F.col("k1") + F.col("k2") + F.col("k3")), "gram").limit(most_grams).toPandas()
-    keys = table["gram"].to_numpy().astype(np.int64).view(np.uint64)
+    counts = counts.select("gram", *[F.coalesce(F.col(f"`{i}`"), F.lit(0)).cast("int").alias(f"k{i}") for i in range(4)])
+    table = counts.orderBy(F.desc(F.col("k0") + F.col("k1") + F.col("k2") + F.col("k3")), "gram").limit(most_grams).toArrow()
+    keys = table["gram"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    keys, k = keys[order], [table[f"k{i}"].to_numpy().astype(np.int64)[order] for i in range(4)]
+    keys, k = keys[order], [table[f"k{i}"].to_numpy().astype(np.int32)[order] for i in range(4)]
+    del table
     ready = len(keys) > 0 and (k[0] + k[1]).any() and (k[2] + k[3]).any()
 
     def model_of(o: np.ndarray, t: np.ndarray) -> Model:
@@ -182,8 +183,9 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, docs_per_class: int = 8000
                 x = np.array(pairs, np.float64).reshape(-1, 2)
                 yield pa.RecordBatch.from_pydict({"y": batch.column(0), "mean": x[:, 0], "top": x[:, 1]})
 
-        got = picked.mapInArrow(examine, "y int, mean double, top double").orderBy("y", "mean", "top").toPandas()
-        weights = logistic(got[["mean", "top"]].to_numpy(), got["y"].to_numpy().astype(np.float64))
+        got = picked.mapInArrow(examine, "y int, mean double, top double").orderBy("y", "mean", "top").toArrow()
+        x = np.column_stack([got[c].to_numpy() for c in ("mean", "top")])
+        weights = logistic(x, got["y"].to_numpy().astype(np.float64))
         model = docs.sparkSession.sparkContext.broadcast(astuple(model_of(k[0] + k[1], k[2] + k[3])))
 
     docs = docs.drop("score")
