@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def cutoff(kind: str, radius: float, r: Column) -> Column:
@@ -34,7 +35,7 @@ def erfc(a: Column) -> Column:
     return F.when(a >= 0, tail).otherwise(2.0 - tail)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def erfc_exact(a):
     """Complementary error function to full precision, over Arrow batches."""
     return a.map(math.erfc)

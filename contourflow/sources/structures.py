@@ -137,7 +137,7 @@ def write_cube(cells: DataFrame, value: str, shape: tuple[int, int, int], basis:
     head += [f"{n:5d} " + " ".join(f"{x:12.6f}" for x in row) for n, row in zip(shape, basis, strict=True)]
     head += [f"{SYMBOLS.index(s):5d} {0.0:12.6f} {x:12.6f} {y:12.6f} {z:12.6f}" for s, x, y, z in atoms]
     rows = cells.groupBy("ix", "iy").agg(F.array_sort(F.collect_list(F.struct("iz", F.col(value).alias("value")))).alias("v"))
-    chunk = F.transform(F.sequence(F.lit(0), F.lit((shape[2] - 1) // 6)), lambda i: F.concat_ws(" ", F.transform(F.slice("v", i * 6 + 1, 6), lambda x: F.format_string("% .5E", x["value"]))))
+    chunk = F.transform(F.sequence(F.lit(0), F.lit((shape[2] - 1) // 6)), lambda i: F.concat_ws(" ", F.transform(F.slice("v", i * 6 + 1, F.lit(6)), lambda x: F.format_string("% .5E", x["value"]))))
     lines = rows.select((F.col("ix") * shape[1] + F.col("iy")).cast("long").alias("n"), F.concat_ws("\n", chunk).alias("line"))
     top = spark.createDataFrame([(-1, "\n".join(head))], "n long, line string")
     top.union(lines).orderBy("n").select("line").write.mode("overwrite").text(path)
