@@ -17,8 +17,9 @@ from .common import checkpoint, compressed, keyed_documents
 LEAD = 80
 #: Bytes of short texts that are hashed together.
 BATCH_BYTES = 1 << 16
-#: Bins in which windows at bucket boundaries meet.
+#: Bins in which windows at bucket boundaries meet, and neighbouring windows of a suffix that go to one bin.
 BINS = 256
+TOGETHER = 16
 _TOP = np.uint64(2**64 - 1)
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(20240229).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -260,10 +261,16 @@ def find_repeats(keyed: DataFrame, length: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([k1[row], k2[row], start, end, pa.nulls(len(row), pa.int32()), none], names)
         row, d = np.nonzero(cross)
         if len(row):
-            window = [left[i][:j][::-1] + right[i][: length - j] for i, j in zip(row.tolist(), d.tolist(), strict=True)]
-            digest = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in window]), "<u8").reshape(-1, 2)
-            both = np.column_stack([digest.view(np.int64), k1[row], k2[row], pos[row] - d])
-            where = (digest[:, 0] % BINS).astype(np.int64)
+            # with d, so that one window is not met again from another suffix inside it
+            window = [j.to_bytes(4, "little") + left[i][:j][::-1] + right[i][: length - j] for i, j in zip(row.tolist(), d.tolist(), strict=True)]
+            digest = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in window]), "<i8").reshape(-1, 2)
+            known = repeat[row, d].astype(np.int64)
+            both = np.column_stack([digest, k1[row], k2[row], pos[row] - d, known])
+            # neighbouring windows share a core, which deals them out by content
+            block = d // TOGETHER * TOGETHER
+            _, first, back = np.unique(row * (reach + 1) + block, return_index=True, return_inverse=True)
+            cores = [left[row[i]][: block[i]][::-1] + right[row[i]][: length - block[i] - TOGETHER + 1] for i in first]
+            where = np.array([int.from_bytes(hashlib.blake2b(c, digest_size=8).digest(), "little") % BINS for c in cores])[back]
             for b in np.unique(where).tolist():
                 zero = pa.array([0], pa.int64())
                 blob = pa.array([both[where == b].tobytes()], pa.binary())
@@ -275,10 +282,15 @@ def find_repeats(keyed: DataFrame, length: int) -> DataFrame:
     found = checkpoint(found)
 
     def across(table: pa.Table) -> pa.Table:
-        both = np.frombuffer(b"".join(table.column("blob").to_pylist()), np.int64).reshape(-1, 5)
+        both = np.frombuffer(b"".join(table.column("blob").to_pylist()), np.int64).reshape(-1, 6)
         _, back, count = np.unique(both[:, :2], axis=0, return_inverse=True, return_counts=True)
-        both = both[count[back.ravel()] > 1]
-        return pa.table({"k1": both[:, 2], "k2": both[:, 3], "start": both[:, 4], "end": both[:, 4] + length})
+        both = both[(count[back.ravel()] > 1) & (both[:, 5] == 0)]
+        both = both[np.lexsort((both[:, 4], both[:, 3], both[:, 2]))]
+        k, start = both[:, 2:4], both[:, 4]
+        new = np.r_[True, (k[1:] != k[:-1]).any(axis=1) | (start[1:] > start[:-1] + length)][: len(both)]
+        first = np.flatnonzero(new)
+        last = np.r_[first[1:] - 1, len(both) - 1][: len(first)]
+        return pa.table({"k1": k[first, 0], "k2": k[first, 1], "start": start[first], "end": start[last] + length})
 
     spans = "k1 long, k2 long, start long, end long"
     whole = marked.where("full").select(
