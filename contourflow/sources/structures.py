@@ -28,7 +28,7 @@ def find_files(spark: SparkSession, folders: str | Sequence[str], pattern: str =
         got = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(folder)
         if got.limit(1).count() == 0:
             raise FileNotFoundError(f"no file matches {pattern} in {folder}")
-        parts.append(got.select(F.lit(n).alias("_f"), F.col("path").alias("source_file"), F.decode("content", F.lit("UTF-8")).alias("content")))
+        parts.append(got.select(F.lit(n).alias("_f"), F.col("path").alias("source_file"), F.decode("content", "UTF-8").alias("content")))
     both = parts[0]
     for p in parts[1:]:
         both = both.union(p)
