@@ -184,7 +184,7 @@ class Known:
         return self.flat[at], stop[np.concatenate([[0], ends])]
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False, batch_bytes: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` (and on demand ``ids``, as
     little-endian unsigned 32-bit integers) for every row of ``docs``.
 
@@ -195,7 +195,11 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
     both. Nothing is shuffled. Words that are a token keep its id, as the library does; words of over
     ``LONGEST_FOLD`` bytes are merged by a heap instead.
     Every row gives a row, repeated ids too; other columns are ignored; an empty table gives no rows.
+    With ``batch_bytes`` (such as ``"8m"``) the session's Arrow batches are set to that, which bounds what
+    passes between the workers where memory is scarce.
     """
+    if batch_bytes:
+        docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch_bytes)
     ranks = load_ranks(ranks_path)
     if max(ranks.values(), default=0) >= NONE or any(bytes([i]) not in ranks for i in range(256)):
         raise ValueError("the vocabulary must have every byte and ids below 2**17")
@@ -211,7 +215,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
         byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         numbers = Numbers()
         epoch = 0
-        for batch in batches:
+        step = 256 if batch_bytes else 1 << 30
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             at = 0
             while at < len(ids):
