@@ -24,7 +24,7 @@ TILE = 2048
 _ODD = np.random.default_rng(5).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def tune_bands(threshold: float, recall: float = 0.995, rows: int = 3) -> int:
+def tune_bands(threshold: float, recall: float = 0.99, rows: int = 2) -> int:
     """The number of bands of ``rows`` values with which a pair at the threshold collides with the wanted probability."""
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
 
@@ -83,6 +83,21 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+def _colliding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a range of ``(uid, key)`` rows those whose key has several uids, and those at its ends, whose key may go on."""
+    got = list(batches)
+    if not got:
+        return
+    table = pa.Table.from_batches(got)
+    both = np.unique(np.column_stack([table["key"].to_numpy(), table["uid"].to_numpy()]), axis=0)
+    if not len(both):
+        return
+    key = both[:, 0]
+    same = np.r_[False, key[1:] == key[:-1]]
+    keep = same | np.r_[same[1:], False] | (key == key[0]) | (key == key[-1])
+    yield pa.RecordBatch.from_pydict({"key": both[keep, 0], "uid": both[keep, 1]})
+
+
 def similar(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of shingle sets with Jaccard similarity >= threshold (``None``: pairs i < j within ``a``).
 
@@ -112,7 +127,7 @@ def similar(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) -
 
 
 def paragraph_duplicates(
-    docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: float = 0.995, rows: int = 3, with_text: bool = False
+    docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: float = 0.99, rows: int = 2, with_text: bool = False
 ) -> DataFrame:
     """``doc_id, n_bytes, n_paragraphs, n_removed, n_spans, n_linked, kept_sha256`` for every row (and ``text`` on demand).
 
@@ -160,8 +175,9 @@ def paragraph_duplicates(
     scanned = checkpoint(scanned)
     pieces_of = scanned.select("doc_id", "k1", "k2", "start", "end", "uid")
     banded = scanned.where("keys is not null").select("uid", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).where("low <> high").select("key")
-    members = checkpoint(banded.join(shared, "key").distinct())
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = banded.repartitionByRange(parts, "key", "uid").mapInArrow(_colliding, "key long, uid long")
+    members = checkpoint(members.distinct())
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
     # one occurrence of each member piece brings its shingles
     where = pieces_of.join(members.select("uid").distinct(), "uid", "left_semi").groupBy("uid").agg(
