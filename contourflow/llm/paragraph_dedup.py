@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, components, compressed, forest, keyed_documents
 
-#: Words of the shortest piece that can be removed, and of the longest paragraph that is one piece.
-LEAST_WORDS, LONGEST_WORDS = 20, 64
-#: In longer paragraphs a piece starts at a word whose hash is least among so many on either side.
-REACH = 10
+#: Words of the shortest paragraph that is compared.
+LEAST_WORDS = 20
+#: Words that are hashed at once.
+CHUNK = 1 << 17
 #: Members of a bucket that are compared in one task; larger buckets are compared tile by tile.
 TILE = 2048
 _ODD = np.random.default_rng(5).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -30,56 +30,67 @@ def tune_bands(threshold: float, recall: float = 0.99, rows: int = 2) -> int:
 
 
 def pieces(raw: bytes) -> tuple[list[bytes], list[tuple[int, int, int, int]]]:
-    """Lower-cased words of a text, and its pieces as (first word, word after the last, first byte, byte after the last).
+    """Lower-cased words of a text, and its paragraphs as (first word, word after the last, first byte, byte after the last).
 
-    Paragraphs end at line feeds. Those of over ``LONGEST_WORDS`` words are cut at places that depend on the
-    nearby words alone, so a passage inside different paragraphs is cut alike.
+    Paragraphs end at line feeds and are whole, however long.
     """
     words, found, offset = [], [], 0
     for line in raw.split(b"\n"):
         part = line.lower().split()
-        n = len(part)
-        if n >= LEAST_WORDS:
-            cuts = [0, n]
-            if n > LONGEST_WORDS:
-                h = np.fromiter((xxhash.xxh64_intdigest(w, 1) for w in part), np.uint64, n)
-                wide = np.lib.stride_tricks.sliding_window_view(np.pad(h, REACH, constant_values=0), 2 * REACH + 1)
-                least = wide.min(axis=1) == h
-                once = (wide == h[:, None]).sum(axis=1) == 1
-                cuts = [0, *np.flatnonzero(least & once).tolist(), n]
-            at, pos = [], 0
-            if len(cuts) > 2:
-                low = line.lower()
-                for w in part:
-                    pos = low.index(w, pos)
-                    at.append(pos)
-                    pos += len(w)
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                start = offset + (at[a] if a else 0)
-                end = offset + (at[b] if b < n else len(line))
-                found.append((len(words) + a, len(words) + b, start, end))
-            words += part
+        if len(part) >= LEAST_WORDS:
+            found.append((len(words), len(words) + len(part), offset, offset + len(line)))
+        words += part
         offset += len(line) + 1
     return words, found
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    v = a * _ODD[61] + b
+    v ^= v >> np.uint64(29)
+    v *= np.uint64(0xBF58476D1CE4E5B9)
+    v ^= v >> np.uint64(32)
+    return v
+
+
+def run_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` neighbours in ``h``, put together from runs of powers of two."""
+    n = max(len(h) - size + 1, 0)
+    block, width, out, done = h, 1, None, 0
+    while True:
+        if size & width:
+            out = block[done : done + n] if out is None else _mix(out[:n], block[done : done + n])
+            done += width
+        if 2 * width > size:
+            return out
+        block = _mix(block[: max(len(block) - width, 0)], block[width:])
+        width *= 2
+
+
 def shingles(words: list[bytes], size: int) -> np.ndarray:
     """Distinct hashes of a piece's shingles; a shorter piece is one shingle."""
     if len(words) < size:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), 7)], np.uint64)
-    joined = [b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(j, 7) for j in joined), np.uint64, len(joined)))
-
-
-def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A key for each band from ``bands * rows`` MinHash values."""
-    k = bands * rows
-    v = hashes[:, None] * _ODD[None, :k]
-    v = ((v ^ v >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)).min(axis=0).reshape(bands, rows)
-    key = np.arange(1, bands + 1).astype(np.uint64) * _ODD[63]
-    for r in range(rows):
-        key = (key ^ v[:, r]) * np.uint64(0x94D049BB133111EB)
-        key ^= key >> np.uint64(31)
+    return np.unique(run_hashes(word_hashes(words), size))
+
+
+def band_keys(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """For each part ``hashes[first:last]`` (none is empty) a key for each band of ``rows`` MinHash values."""
+    ends = np.column_stack([first, last]).ravel()
+    padded = np.append(hashes, np.uint64(0))  # a part may end with the hashes
+    key = np.empty((len(first), bands), np.uint64)
+    for b in range(bands):
+        k = np.full(len(first), b + 1, np.uint64) * _ODD[63]
+        for r in range(rows):
+            v = padded * _ODD[b * rows + r]
+            v ^= v >> np.uint64(29)
+            v *= np.uint64(0xBF58476D1CE4E5B9)
+            k = (k ^ np.minimum.reduceat(v, ends)[::2]) * np.uint64(0x94D049BB133111EB)
+            k ^= k >> np.uint64(31)
+        key[:, b] = k
     return key
 
 
@@ -131,9 +142,8 @@ def paragraph_duplicates(
 ) -> DataFrame:
     """``doc_id, n_bytes, n_paragraphs, n_removed, n_spans, n_linked, kept_sha256`` for every row (and ``text`` on demand).
 
-    A text's pieces (see :func:`pieces`) of at least ``LEAST_WORDS`` words, or inside long paragraphs of
-    whatever length, are compared as sets of ``shingle``-word shingles, A-Z lower-cased, white space folded.
-    Pieces with a Jaccard similarity of ``threshold`` or more are linked; of each component the occurrence
+    A text's whole paragraphs (see :func:`pieces`) of at least ``LEAST_WORDS`` words and any length are
+    compared as sets of ``shingle``-word shingles, A-Z lower-cased, white space folded. Paragraphs with a Jaccard similarity of ``threshold`` or more are linked; of each component the occurrence
     with the smallest doc_id (then position) stays and the bytes of all others are removed: ``n_removed``
     bytes in ``n_spans`` runs; ``n_linked`` counts the row's pieces in components of several occurrences.
 
@@ -148,33 +158,51 @@ def paragraph_duplicates(
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        names = ("doc_id", "k1", "k2", "start", "end", "uid")
+        rows_of: dict[str, list] = {c: [] for c in names}
+        words: list[bytes] = []
+        fresh: list[tuple[int, int, int]] = []  # row, first word, word after the last
+
+        def close() -> pa.RecordBatch:
+            n = len(rows_of["uid"])
+            count = np.zeros(n + 1, np.int32)
+            keys = np.empty((0, bands), np.uint64)
+            at = np.array(fresh, np.int64).reshape(-1, 3)
+            if len(at):
+                h = word_hashes(words)
+                keys = band_keys(run_hashes(h, shingle), at[:, 1], at[:, 2] - shingle + 1, bands, rows)
+                count[at[:, 0] + 1] = bands
+            lists = pa.ListArray.from_arrays(np.cumsum(count, dtype=np.int32), pa.array(keys.ravel().view(np.int64)))
+            arrays = [*(pa.array(v, pa.int64()) for v in rows_of.values()), lists]
+            for v in (*rows_of.values(), words, fresh):
+                v.clear()
+            return pa.RecordBatch.from_arrays(arrays, [*names, "keys"])
+
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("doc_id", "k1", "k2", "start", "end", "uid", "keys")}
             for doc, k1, k2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                words, found = pieces(raw)
+                part, found = pieces((text or "").encode("utf-8", "surrogatepass"))
+                base = len(words)
+                words += part
                 for a, b, start, end in found:
-                    if b - a < shingle:
-                        continue
-                    part = words[a:b]
-                    uid = xxhash.xxh64_intdigest(b" ".join(part), 3) - 2**63
-                    keys = None
+                    uid = xxhash.xxh64_intdigest(b" ".join(part[a:b]), 3) >> 1
                     if uid not in seen:
                         seen.add(uid)
-                        keys = band_keys(shingles(part, shingle), bands, rows).view(np.int64)
-                    for c, v in zip(out, (doc, k1, k2, start, end, uid, keys), strict=True):
-                        out[c].append(v)
+                        if b - a >= shingle:  # shorter ones are alike only if equal
+                            fresh.append((len(rows_of["uid"]), base + a, base + b))
+                    for c, v in zip(names, (doc, k1, k2, start, end, uid), strict=True):
+                        rows_of[c].append(v)
                 if len(seen) > 1_000_000:
                     seen.clear()
-            kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
+                if len(words) > CHUNK:
+                    yield close()
+        yield close()
 
     scanned = keyed.select("doc_id", "k1", "k2", "text").mapInArrow(
         scan, "doc_id long, k1 long, k2 long, start long, end long, uid long, keys array<bigint>"
     )
     scanned = checkpoint(scanned)
     pieces_of = scanned.select("doc_id", "k1", "k2", "start", "end", "uid")
-    banded = scanned.where("keys is not null").select("uid", F.explode("keys").alias("key"))
+    banded = scanned.select("uid", F.explode("keys").alias("key"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     members = banded.repartitionByRange(parts, "key", "uid").mapInArrow(_colliding, "key long, uid long")
     members = checkpoint(members.distinct())

@@ -180,3 +180,40 @@ def test_paragraphs(spark, monkeypatch, tile):
             gone[o[0]] += o[2] - o[1]
     assert pairs and {d: n for d, n in got["n_removed"].items() if n} == dict(gone)
     assert paragraph_dedup.paragraph_duplicates(docs(spark, [])).count() == 0
+
+
+def removed_by_brute_force(rows, threshold=0.8):
+    """Bytes removed per document when all paragraphs between line feeds are compared whole."""
+    occ, sets = [], []
+    for doc, text in rows:
+        offset = 0
+        for line in (text or "").encode().split(b"\n"):
+            words = line.lower().split()
+            if words:
+                occ.append((doc, offset, len(line)))
+                sets.append({tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))})
+            offset += len(line) + 1
+    pairs = [(i, j) for i in range(len(occ)) for j in range(i) if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) - 1e-9]
+    root, gone = roots(len(occ), pairs), Counter()
+    first = {}
+    for i, o in enumerate(occ):
+        first[root[i]] = min(first.get(root[i], o), o)
+    for i, o in enumerate(occ):
+        if first[root[i]] != o:
+            gone[o[0]] += o[2]
+    return dict(gone)
+
+
+def test_long_paragraphs_are_compared_whole(spark):
+    rng = np.random.default_rng(11)
+    fresh = iter(f"w{i}" for i in range(10**6))
+    rows = []
+    for n, edits in [(64, 0), (100, 2), (400, 8), (1500, 30), (65, 1)]:
+        words = [next(fresh) for _ in range(n)]
+        other = list(words)
+        for at in rng.choice(np.arange(10, n - 10, 11), edits, replace=False):
+            other[at] = next(fresh)
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other + [next(fresh)] * (n == 64)))]
+    got = paragraph_dedup.paragraph_duplicates(docs(spark, rows), recall=0.999999).toPandas()
+    want = removed_by_brute_force(rows)
+    assert set(want) == {1, 3, 5, 7, 9} and {d: n for d, n in zip(got.doc_id, got.n_removed, strict=True) if n} == want
