@@ -94,6 +94,25 @@ def band_keys(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, bands: in
     return key
 
 
+def passage_seeds(h: np.ndarray, passage: int) -> np.ndarray:
+    """For each run of ``passage`` words the least hash of the runs of half its length inside it."""
+    half = passage // 2
+    low, width, inside = run_hashes(h, half), 1, passage - half + 1
+    while 2 * width <= inside:
+        low = np.minimum(low[: max(len(low) - width, 0)], low[width:])
+        width *= 2
+    n = max(len(h) - passage + 1, 0)
+    return np.minimum(low[:n], low[inside - width : inside - width + n])
+
+
+def _distinct_seeds(seed: np.ndarray, inside: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct seeds of a paragraph's passages, and those of them that stand at several places."""
+    at = np.flatnonzero(np.r_[True, seed[1:] != seed[:-1]])
+    length = np.diff(np.r_[at, len(seed)])
+    value, n = np.unique(seed[at], return_counts=True)
+    return value, np.union1d(value[n > 1], seed[at[length > inside]])
+
+
 def _colliding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a range of ``(uid, key)`` rows those whose key has several uids, and those at its ends, whose key may go on."""
     got = list(batches)
@@ -138,7 +157,8 @@ def similar(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) -
 
 
 def paragraph_duplicates(
-    docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: float = 0.99, rows: int = 2, with_text: bool = False
+    docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: float = 0.99, rows: int = 2, with_text: bool = False,
+    passage: int | None = None,
 ) -> DataFrame:
     """``doc_id, n_bytes, n_paragraphs, n_removed, n_spans, n_linked, kept_sha256`` for every row (and ``text`` on demand).
 
@@ -147,6 +167,12 @@ def paragraph_duplicates(
     with the smallest doc_id (then position) stays and the bytes of all others are removed: ``n_removed``
     bytes in ``n_spans`` runs; ``n_linked`` counts the row's pieces in components of several occurrences.
 
+    With ``passage``, runs of that many words or more that occur again inside the paragraphs that stay (in
+    any document, or twice in one paragraph without overlap) are removed after that, whole, up to their first
+    and last common word; the first occurrence stays. This is exact: equal runs have equal seeds (the least
+    hash of the runs of half the length inside), so only runs whose seed occurs twice are hashed and grouped.
+    Paragraphs that hold one count in ``n_linked``.
+
     Bands are tuned for a recall of at least ``recall`` per link at the threshold; colliding pieces are
     verified exactly. Equal pieces are one class and link without a search. Buckets of very many different
     pieces are compared in tiles, whole, and a task returns a spanning forest. Rows repeated as a whole
@@ -172,11 +198,23 @@ def paragraph_duplicates(
                 h = word_hashes(words)
                 keys = band_keys(run_hashes(h, shingle), at[:, 1], at[:, 2] - shingle + 1, bands, rows)
                 count[at[:, 0] + 1] = bands
-            lists = pa.ListArray.from_arrays(np.cumsum(count, dtype=np.int32), pa.array(keys.ravel().view(np.int64)))
-            arrays = [*(pa.array(v, pa.int64()) for v in rows_of.values()), lists]
+            lists = [pa.ListArray.from_arrays(np.cumsum(count, dtype=np.int32), pa.array(keys.ravel().view(np.int64)))]
+            if passage:
+                found: list[list[np.ndarray]] = [[], []]
+                counts = np.zeros((2, n + 1), np.int32)
+                if len(at):
+                    seed = passage_seeds(h, passage)
+                    for row, a, b in at[at[:, 2] - at[:, 1] >= passage].tolist():
+                        for k, v in enumerate(_distinct_seeds(seed[a : b - passage + 1], passage - passage // 2 + 1)):
+                            found[k].append(v)
+                            counts[k, row + 1] = len(v)
+                for k in (0, 1):
+                    flat = np.concatenate([np.empty(0, np.uint64), *found[k]]).view(np.int64)
+                    lists.append(pa.ListArray.from_arrays(np.cumsum(counts[k], dtype=np.int32), pa.array(flat)))
+            arrays = [*(pa.array(v, pa.int64()) for v in rows_of.values()), *lists]
             for v in (*rows_of.values(), words, fresh):
                 v.clear()
-            return pa.RecordBatch.from_arrays(arrays, [*names, "keys"])
+            return pa.RecordBatch.from_arrays(arrays, [*names, "keys", "seeds", "again"][: len(arrays)])
 
         for batch in batches:
             for doc, k1, k2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -197,9 +235,10 @@ def paragraph_duplicates(
                     yield close()
         yield close()
 
-    scanned = keyed.select("doc_id", "k1", "k2", "text").mapInArrow(
-        scan, "doc_id long, k1 long, k2 long, start long, end long, uid long, keys array<bigint>"
-    )
+    schema = "doc_id long, k1 long, k2 long, start long, end long, uid long, keys array<bigint>"
+    if passage:
+        schema += ", seeds array<bigint>, again array<bigint>"
+    scanned = keyed.select("doc_id", "k1", "k2", "text").mapInArrow(scan, schema)
     scanned = checkpoint(scanned)
     pieces_of = scanned.select("doc_id", "k1", "k2", "start", "end", "uid")
     banded = scanned.select("uid", F.explode("keys").alias("key"))
@@ -272,16 +311,67 @@ def paragraph_duplicates(
         .sortWithinPartitions("key", "i", "j")
         .mapInArrow(verify, "a long, b long")
     )
+    def repeated(labelled: DataFrame, groups: DataFrame) -> DataFrame:
+        """``k1, k2, start, gone`` for the passages that repeat in paragraphs that stay; ``gone`` is null for the first."""
+        # a seed that stands twice in one paragraph has a second owner, the complement of the first
+        owned = scanned.select("uid", F.explode("seeds").alias("key")).union(
+            scanned.select((-1 - F.col("uid")).alias("uid"), F.explode("again").alias("key"))
+        )
+        owned = checkpoint(owned.repartitionByRange(parts, "key", "uid").mapInArrow(_colliding, "key long, uid long").distinct())
+        owned = owned.withColumn("twin", F.col("uid") < 0).withColumn("uid", F.greatest("uid", -1 - F.col("uid")))
+        at = labelled.join(owned.select("uid").distinct(), "uid", "left_semi").join(groups.select("root", "first"), "root", "left")
+        at = checkpoint(at.where(F.col("first").isNull() | rank.eqNullSafe(F.col("first"))).select("doc_id", "k1", "k2", "start", "end", "uid").distinct())
+        # copies of a paragraph that stays are dropped, so a class has one place, or those of rows repeated as a whole
+        owned = owned.join(at.select("uid").distinct(), "uid", "left_semi")
+        several = owned.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        seeds = owned.where("not twin").join(several, "key").groupBy("uid").agg(F.collect_set("key").alias("seeds"))
+        asked = at.join(seeds, "uid").groupBy("k1", "k2").agg(
+            F.max("doc_id").alias("doc_id"), F.collect_list(F.struct("start", "end", "seeds")).alias("at")
+        )
+
+        def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            unpack = zstandard.ZstdDecompressor()
+            for batch in batches:
+                for z, doc, k1, k2, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    raw = unpack.decompress(z)
+                    for x in places:
+                        line = raw[x["start"] : x["end"]].lower()
+                        words = line.split()
+                        h = word_hashes(words)
+                        seed = passage_seeds(h, passage).view(np.int64)
+                        hit = np.flatnonzero(np.isin(seed, np.array(x["seeds"], np.int64)))
+                        size = np.array([len(w) for w in words], np.int64)
+                        at, pos = np.empty(len(words), np.int64), 0
+                        for i, w in enumerate(words):
+                            at[i] = pos = line.index(w, pos)
+                            pos += len(w)
+                        s, e = x["start"] + at[hit], x["start"] + (at + size)[hit + passage - 1]
+                        same = {"doc_id": doc, "k1": k1, "k2": k2, "start": x["start"]}
+                        columns = {c: pa.array([v] * len(hit), pa.int64()) for c, v in same.items()}
+                        yield pa.RecordBatch.from_pydict(
+                            {"seed": seed[hit], "run": run_hashes(h, passage).view(np.int64)[hit]} | columns | {"s": s, "e": e}
+                        )
+
+        schema = "seed long, run long, doc_id long, k1 long, k2 long, start long, s long, e long"
+        found = packed.join(asked, ["k1", "k2"]).select("z", "doc_id", "k1", "k2", "at").mapInArrow(runs, schema)
+        found = checkpoint(found)
+        place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "s", "k1", "k2", "e")
+        often = found.groupBy("seed", "run").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high")
+        found = found.join(often.select("seed", "run", "low"), ["seed", "run"])
+        overlaps = (F.col("k1") == F.col("low.k1")) & (F.col("k2") == F.col("low.k2")) & (F.col("s") < F.col("low.e"))
+        return found.select("k1", "k2", "start", F.when(~overlaps, F.struct(F.col("s").alias("start"), F.col("e").alias("end"))).alias("gone"))
+
     roots = components(links)
     labelled = pieces_of.join(roots, pieces_of.uid == roots.node, "left").select(
-        "doc_id", "k1", "k2", "start", "end", F.coalesce("root", "uid").alias("root")
+        "doc_id", "k1", "k2", "start", "end", "uid", F.coalesce("root", "uid").alias("root")
     )
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "start", "k1", "k2")
     groups = labelled.groupBy("root").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1")
     doubled = labelled.join(groups, "root").withColumn("drop", ~rank.eqNullSafe(F.col("first")))
-    per_doc = doubled.groupBy("k1", "k2").agg(
-        F.count("*").alias("linked"), F.collect_set(F.when(F.col("drop"), F.struct("start", "end"))).alias("drops")
-    )
+    marks = doubled.select("k1", "k2", "start", F.when(F.col("drop"), F.struct("start", "end")).alias("gone"))
+    if passage:
+        marks = marks.union(repeated(labelled, groups))
+    per_doc = marks.groupBy("k1", "k2").agg(F.size(F.collect_set("start")).cast("long").alias("linked"), F.collect_set("gone").alias("drops"))
     counts = pieces_of.groupBy("k1", "k2").agg(F.countDistinct("start").alias("n_paragraphs"))
     per_doc = counts.join(per_doc, ["k1", "k2"], "left")
     full = compressed(keyed.select("doc_id", "k1", "k2", "text")).join(per_doc, ["k1", "k2"], "left").select(

@@ -60,7 +60,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraph_duplicates(_table(spark, sf_dir, "documents"), threshold=0.8, shingle=5)
+    return paragraph_duplicates(_table(spark, sf_dir, "documents"), threshold=0.8, shingle=5, passage=50)
 
 
 QUERIES = {

@@ -217,3 +217,33 @@ def test_long_paragraphs_are_compared_whole(spark):
     got = paragraph_dedup.paragraph_duplicates(docs(spark, rows), recall=0.999999).toPandas()
     want = removed_by_brute_force(rows)
     assert set(want) == {1, 3, 5, 7, 9} and {d: n for d, n in zip(got.doc_id, got.n_removed, strict=True) if n} == want
+
+
+def test_passages_inside_longer_paragraphs(spark):
+    rng = np.random.default_rng(12)
+    fresh = iter(f"w{i}" for i in range(10**6))
+
+    def some(n):
+        return [next(fresh) for _ in range(n)]
+
+    rows, want = [], {}
+    for n in (50, 51, 55, 60, 70, 80):
+        for around in (0, 5, 100):
+            passage = some(n)
+            first, second = some(around) + passage + some(101), some(around) + [w.upper() for w in passage] + some(107)
+            rows += [(len(rows), " ".join(first)), (len(rows) + 1, "ünd so weiter\n" + "  ".join(second))]
+            want[len(rows) - 1] = len("  ".join(passage))
+    twice = some(52)
+    rows.append((len(rows), " ".join(twice + some(60) + twice + some(60))))
+    want[len(rows) - 1] = len(" ".join(twice))
+    short = some(49)
+    rows += [(len(rows) + k, " ".join(some(30) + short + some(30))) for k in range(2)]
+    rows.append((len(rows), " ".join(["ha"] * 90)))
+    rng.shuffle(rows)
+    rows = [(int(i), t) for i, t in rows]
+    got = paragraph_dedup.paragraph_duplicates(docs(spark, rows + rows[:1]), passage=50, with_text=True).toPandas()
+    assert len(got) == len(rows) + 1
+    assert {d: n for d, n in zip(got.doc_id, got.n_removed, strict=True) if n} == want
+    assert set(got[got.n_linked > 0].doc_id) >= set(range(37))
+    left = Counter(w.lower() for t in got.drop_duplicates("doc_id").text for w in t.split())
+    assert all(left[f"w{i}"] >= 1 for i in range(1000))
