@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, components, compressed, forest, keyed_documents
 
-#: Words of the shortest paragraph that is compared.
-LEAST_WORDS = 20
 #: Words that are hashed at once.
 CHUNK = 1 << 17
 #: Members of a bucket that are compared in one task; larger buckets are compared tile by tile.
@@ -32,12 +30,12 @@ def tune_bands(threshold: float, recall: float = 0.99, rows: int = 2) -> int:
 def pieces(raw: bytes) -> tuple[list[bytes], list[tuple[int, int, int, int]]]:
     """Lower-cased words of a text, and its paragraphs as (first word, word after the last, first byte, byte after the last).
 
-    Paragraphs end at line feeds and are whole, however long.
+    Paragraphs end at line feeds and are whole, however long or short; lines without words are none.
     """
     words, found, offset = [], [], 0
     for line in raw.split(b"\n"):
         part = line.lower().split()
-        if len(part) >= LEAST_WORDS:
+        if part:
             found.append((len(words), len(words) + len(part), offset, offset + len(line)))
         words += part
         offset += len(line) + 1
@@ -162,8 +160,8 @@ def paragraph_duplicates(
 ) -> DataFrame:
     """``doc_id, n_bytes, n_paragraphs, n_removed, n_spans, n_linked, kept_sha256`` for every row (and ``text`` on demand).
 
-    A text's whole paragraphs (see :func:`pieces`) of at least ``LEAST_WORDS`` words and any length are
-    compared as sets of ``shingle``-word shingles, A-Z lower-cased, white space folded. Paragraphs with a Jaccard similarity of ``threshold`` or more are linked; of each component the occurrence
+    A text's whole paragraphs (see :func:`pieces`) of any length are compared as sets of ``shingle``-word
+    shingles (a shorter paragraph is one), A-Z lower-cased, white space folded. Paragraphs with a Jaccard similarity of ``threshold`` or more are linked; of each component the occurrence
     with the smallest doc_id (then position) stays and the bytes of all others are removed: ``n_removed``
     bytes in ``n_spans`` runs; ``n_linked`` counts the row's pieces in components of several occurrences.
 

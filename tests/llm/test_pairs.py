@@ -247,3 +247,15 @@ def test_passages_inside_longer_paragraphs(spark):
     assert set(got[got.n_linked > 0].doc_id) >= set(range(37))
     left = Counter(w.lower() for t in got.drop_duplicates("doc_id").text for w in t.split())
     assert all(left[f"w{i}"] >= 1 for i in range(1000))
+
+
+def test_short_paragraphs_are_compared(spark):
+    words = [f"w{i}" for i in range(19)]
+    near = [*words[:1], "other", *words[1:]]
+    lines = ["Hello", "one two three four", "a a a a a", " ".join(words), "  ", "w0 w1 w2 w3 w4 w5 w6 w7"]
+    rows = [(0, "\n".join(lines)), (1, "hello\n\nOne two  three four\nalone"), (2, "one two three\na a a a a a a\n" + " ".join(words)),
+            (3, "w0 w1 w2 w3 w4 w5 w6 w7 w8"), (4, " ".join(near)), (5, None), (6, "alone\nalone")]
+    got = paragraph_dedup.paragraph_duplicates(docs(spark, rows), recall=0.999999).toPandas().set_index("doc_id")
+    want = removed_by_brute_force(rows)
+    assert set(want) == {1, 2, 3, 4, 6} and {d: n for d, n in got["n_removed"].items() if n} == want
+    assert got["n_paragraphs"].to_dict() == {0: 5, 1: 3, 2: 3, 3: 1, 4: 1, 5: 0, 6: 2}
