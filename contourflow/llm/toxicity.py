@@ -107,14 +107,15 @@ def fit_model(keys: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> Mode
     return Model(ratio, checks)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Weights (intercept first) of a ridge logistic regression, by Newton steps."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50, times: np.ndarray | None = None) -> np.ndarray:
+    """Weights (intercept first) of a ridge logistic regression, by Newton steps; row i counts ``times[i]`` times."""
     a = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(a.shape[1])
+    times = np.ones(len(x)) if times is None else times
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, a.T @ (y - p) - ridge * w)
+        h = (a * (times * p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, a.T @ (times * (y - p)) - ridge * w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
@@ -134,6 +135,8 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, docs_per_class: int = 8000
     model. Every whole text is then scored in one pass without a shuffle: the toxic and the ordinary
     model's log-likelihoods are compared per byte over the text and over its most suspicious window, and a
     logistic function, fitted on halves of the sample scored by the other half's model, maps both to (0, 1).
+    A sampled row counts in it as many times as its class has labels per sampled row, so 0.5 means the same
+    whatever part of each class is sampled.
 
     Empty and null texts have neutral features and get the logistic's value for them. Null ids are scored
     and not held out; null or repeated labels are dropped or merged (any toxic label counts). If a class is
@@ -184,8 +187,10 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, docs_per_class: int = 8000
                 yield pa.RecordBatch.from_pydict({"y": batch.column(0), "mean": x[:, 0], "top": x[:, 1]})
 
         got = picked.mapInArrow(examine, "y int, mean double, top double").orderBy("y", "mean", "top").toArrow()
-        x = np.column_stack([got[c].to_numpy() for c in ("mean", "top")])
-        weights = logistic(x, got["y"].to_numpy().astype(np.float64))
+        x, y = np.column_stack([got[c].to_numpy() for c in ("mean", "top")]), got["y"].to_numpy()
+        labelled = dict(map(tuple, known.groupBy("toxic").count().collect()))
+        times = np.array([max(labelled.get(c, 0) / docs_per_class, 1.0) for c in (0, 1)])
+        weights = logistic(x, y.astype(np.float64), times=times[y])
         model = docs.sparkSession.sparkContext.broadcast(astuple(model_of(k[0] + k[1], k[2] + k[3])))
 
     docs = docs.drop("score")

@@ -143,3 +143,15 @@ def test_pipeline_stages(spark, tmp_path):
             assert docs.join(before, before.columns, "left_anti").count() == 0 and 0 < counts[-1] < counts[-2]
     assert counts[3] == counts[2] and counts[5] == counts[4]
     assert "decoded_sha256" in docs.columns and docs.where("n_tokens is null").count() == 0
+
+
+def test_toxicity_threshold_does_not_depend_on_the_sample(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(50)]
+    rows = [(i, " ".join(rng.choice(words, 20))) for i in range(450)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(450)], "doc_id long, toxic int")
+    whole, some = (toxicity.score_toxicity(df, lab, docs_per_class=n).toPandas().score.mean() for n in (8000, 40))
+    assert abs(whole - 1 / 9) < 0.05 and abs(some - whole) < 0.08
