@@ -181,7 +181,7 @@ def diffuse(edges: DataFrame, seeds: DataFrame, alpha: float = 0.9, most: int =
             old = now.select("node", "label", F.col("score").alias("old"))
             change = new.join(old, ["node", "label"], "full").agg(F.max(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
             now = new
-            if change is None or change < tolerance * every:
+            if change is None or change < tolerance:
                 break
         else:
             now = new
@@ -190,7 +190,7 @@ def diffuse(edges: DataFrame, seeds: DataFrame, alpha: float = 0.9, most: int =
 
 
 def _relax(edges: DataFrame, start: DataFrame, combine, better, most: int) -> DataFrame:
-    """Label-wise relaxation of ``start(node, label, value)`` along the edges until nothing improves."""
+    """Label-wise relaxation of ``start(node, label, value)`` along the edges until nothing improves; raises if that takes over ``most`` rounds."""
     links = settle(_both_ways(edges))
     now, sign = settle(start), None
     for _ in range(most):
@@ -198,9 +198,9 @@ def _relax(edges: DataFrame, start: DataFrame, combine, better, most: int) -> Da
         now = settle(now.union(moved).groupBy("node", "label").agg(better("value").alias("value")))
         new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("node", "label", "value").cast("decimal(38,0)"))).first())
         if new == sign:
-            break
+            return now
         sign = new
-    return now
+    raise RuntimeError(f"paths did not settle in {most} rounds")
 
 
 def shortest_paths(edges: DataFrame, seeds: DataFrame, most: int = 1000) -> DataFrame:

@@ -494,7 +494,7 @@ def _propagate(mode: str):
     def run(spark, sf):
         e = iterate.settle(_graph(spark, sf))
         nodes = _emb(spark, sf).select(F.col("point_index").alias("node"), F.col("Cluster").alias("label"))
-        scores = graph.propagation_scores(e, nodes.where("node % 25 = 0"), mode, most=40)
+        scores = graph.propagation_scores(e, nodes.where("node % 25 = 0"), mode)
         return graph.assign(nodes, scores)
 
     run.__name__ = f"propagate_{mode}"

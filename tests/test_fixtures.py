@@ -233,3 +233,11 @@ def test_streamed_outputs(spark, tmp_path):
     q.awaitTermination(60)
     got = pd.concat(seen).set_index("job")
     assert got.loc["qe_job_1"].energy == -124.0 and got.loc["qe_job_2"].label_status == "failed"
+
+
+def test_paths_that_do_not_settle_raise(spark):
+    e = spark.createDataFrame([(i, i + 1, 1.0) for i in range(6)], "source long, target long, weight double")
+    seeds = spark.createDataFrame([(0, 1)], "node long, label int")
+    with pytest.raises(RuntimeError):
+        graph.shortest_paths(e, seeds, most=3)
+    assert graph.shortest_paths(e, seeds).count() == 7
