@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,6 +136,71 @@ def pivoted_cholesky(x: np.ndarray, n: int, seeds: np.ndarray | None = None, gam
     return out
 
 
+def pivoted_rows(df: DataFrame, node: str, features: Sequence[str], n: int, method: str = "pivoted_qr", gamma: float | str = "median", tolerance: float = 1e-12) -> list[tuple[int, float]]:
+    """:func:`pivoted_qr` or :func:`pivoted_cholesky` over all rows of a table of any length, as (node, score).
+
+    A round is one pass: every row's residual follows from the rows picked so far, and only the best row of a
+    task leaves it (of equal ones the least node). Residuals of QR that are rounding alone count as zero.
+    """
+    if method not in ("pivoted_qr", "pivoted_cholesky"):
+        raise ValueError(f"unknown method: {method}")
+    qr = method == "pivoted_qr"
+    rows = settle(df.select(F.col(node).cast("long").alias("node"), *[F.col(c).cast("double").alias(c) for c in features]))
+    g = 0.0
+    if not qr:
+        size = rows.count()
+        at = set(np.linspace(0, max(size - 1, 0), min(size, 1000)).astype(int).tolist())
+        some = rows.orderBy("node").rdd.zipWithIndex().filter(lambda x: x[1] in at).map(lambda x: tuple(x[0])[1:]).collect()
+        g = rbf_gamma(np.array(some, float).reshape(-1, len(features)), gamma)
+    # QR: the directions taken out; Cholesky: picked rows, their columns' values at the picked rows, and pivots
+    taken: list[tuple] = []
+
+    def residuals(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if qr:
+            r = x.copy()
+            for (u,) in taken:
+                r -= (r * u).sum(axis=1)[:, None] * u
+            norms, whole = (r * r).sum(axis=1), (x * x).sum(axis=1)
+            return np.where(norms > 1e-24 * whole, norms, 0.0), r
+        left, columns = np.ones(len(x)), np.zeros((len(x), len(taken)))
+        for k, (row, values, pivot) in enumerate(taken):
+            c = np.exp(-g * ((x - row) ** 2).sum(axis=1)) - (columns[:, :k] * values).sum(axis=1)
+            columns[:, k] = c / np.sqrt(max(pivot, tolerance))
+            left = np.maximum(left - columns[:, k] ** 2, 0.0)
+        return left, columns
+
+    out: list[tuple[int, float]] = []
+    for _ in range(n):
+        gone = np.array([i for i, _ in out], np.int64)
+
+        def best(batches: Iterator[pa.RecordBatch], gone: np.ndarray = gone) -> Iterator[pa.RecordBatch]:
+            top = None
+            for batch in batches:
+                node = batch.column(0).to_numpy()
+                free = ~np.isin(node, gone)
+                if not free.any():
+                    continue
+                x = np.column_stack([c.to_numpy() for c in batch.columns[1:]])[free]
+                score, node = residuals(x)[0], node[free]
+                i = np.lexsort((node, -score))[0]
+                if top is None or (-score[i], node[i]) < (-top[1], top[0]):
+                    top = int(node[i]), float(score[i]), x[i].tolist()
+            if top is not None:
+                yield pa.RecordBatch.from_pydict({"node": [top[0]], "score": [top[1]], "x": [top[2]]})
+
+        found = rows.mapInArrow(best, "node long, score double, x array<double>").orderBy(F.desc("score"), "node").first()
+        if found is None:
+            break
+        x = np.array([found["x"]], float)
+        out.append((found["node"], float(np.sqrt(found["score"])) if qr else found["score"]))
+        rest = residuals(x)[1][0]
+        if not qr:
+            taken.append((x[0], rest, found["score"]))
+        elif found["score"] > 0:
+            taken.append((rest / np.sqrt(found["score"]),))
+    return out
+
+
 def archetype_candidates(df: DataFrame, features: Sequence[str], probability: str = "probability", quantile: float | None = 0.75, least: float | None = None, scale: bool = True) -> DataFrame:
     """Points above the probability threshold with ``extremeness`` (distance to their centroid), both components normalised to ``p, e``."""
     if least is None and quantile is not None:

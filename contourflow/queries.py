@@ -666,18 +666,17 @@ def archetypes(spark, sf):
     return spark.createDataFrame(selection.select_archetypes(c, 4, FEATS), "point_index long, score double")
 
 
-def _pivoted(name: str, f):
+def _pivoted(name: str):
     def run(spark, sf):
-        pdf = _emb(spark, sf).orderBy("point_index").limit(clustering.MOST_DENSE).toPandas()
-        got = f(pdf[FEATS].to_numpy(), 8)
-        return spark.createDataFrame([(int(pdf.point_index[i]), s, n) for n, (i, s) in enumerate(got)], "point_index long, score double, selection_rank int")
+        got = selection.pivoted_rows(_emb(spark, sf), "point_index", FEATS, 8, name)
+        return spark.createDataFrame([(i, s, n) for n, (i, s) in enumerate(got)], "point_index long, score double, selection_rank int")
 
     run.__name__ = name
     query()(run)
 
 
-_pivoted("pivoted_qr", selection.pivoted_qr)
-_pivoted("pivoted_cholesky", selection.pivoted_cholesky)
+_pivoted("pivoted_qr")
+_pivoted("pivoted_cholesky")
 
 
 # --- stationary points --------------------------------------------------------------------------------

@@ -235,6 +235,17 @@ def test_streamed_outputs(spark, tmp_path):
     assert got.loc["qe_job_1"].energy == -124.0 and got.loc["qe_job_2"].label_status == "failed"
 
 
+@pytest.mark.parametrize("method", ["pivoted_qr", "pivoted_cholesky"])
+def test_pivoting_reads_every_row(spark, monkeypatch, method):
+    x = np.random.default_rng(4).normal(size=(5050, 3))
+    x[5040] *= 50
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "point_index long, f0 double, f1 double, f2 double")
+    got = selection.pivoted_rows(df.repartition(3), "point_index", ["f0", "f1", "f2"], 3, method)
+    want = getattr(selection, method)(x, 3)
+    assert [i for i, _ in got] == [i for i, _ in want] and 5040 in [i for i, _ in got]
+    assert np.allclose([s for _, s in got], [s for _, s in want])
+
+
 def test_paths_that_do_not_settle_raise(spark):
     e = spark.createDataFrame([(i, i + 1, 1.0) for i in range(6)], "source long, target long, weight double")
     seeds = spark.createDataFrame([(0, 1)], "node long, label int")
