@@ -249,7 +249,7 @@ def paragraph_duplicates(
         F.min(F.struct("k1", "k2", "start", "end")).alias("at")
     )
     wanted = where.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("uid", "at.start", "at.end")).alias("at"))
-    packed = compressed(keyed.select("k1", "k2", "text"))
+    packed = compressed(keyed.select("doc_id", "k1", "k2", "text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -323,16 +323,14 @@ def paragraph_duplicates(
         owned = owned.join(at.select("uid").distinct(), "uid", "left_semi")
         several = owned.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         seeds = owned.where("not twin").join(several, "key").groupBy("uid").agg(F.collect_set("key").alias("seeds"))
-        asked = at.join(seeds, "uid").groupBy("k1", "k2").agg(
-            F.max("doc_id").alias("doc_id"), F.collect_list(F.struct("start", "end", "seeds")).alias("at")
-        )
+        asked = at.join(seeds, "uid").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end", "seeds")).alias("at"))
 
         def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unpack = zstandard.ZstdDecompressor()
             for batch in batches:
                 for z, doc, k1, k2, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    raw = unpack.decompress(z)
-                    for x in places:
+                    raw = unpack.decompress(z) if places else b""
+                    for x in places or ():
                         line = raw[x["start"] : x["end"]].lower()
                         words = line.split()
                         h = word_hashes(words)
@@ -351,13 +349,34 @@ def paragraph_duplicates(
                         )
 
         schema = "seed long, run long, doc_id long, k1 long, k2 long, start long, s long, e long"
-        found = packed.join(asked, ["k1", "k2"]).select("z", "doc_id", "k1", "k2", "at").mapInArrow(runs, schema)
-        found = checkpoint(found)
-        place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "s", "k1", "k2", "e")
-        often = found.groupBy("seed", "run").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high")
-        found = found.join(often.select("seed", "run", "low"), ["seed", "run"])
-        overlaps = (F.col("k1") == F.col("low.k1")) & (F.col("k2") == F.col("low.k2")) & (F.col("s") < F.col("low.e"))
-        return found.select("k1", "k2", "start", F.when(~overlaps, F.struct(F.col("s").alias("start"), F.col("e").alias("end"))).alias("gone"))
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = ("seed", "run", "k1", "k2", "start", "s", "e")
+            held = np.empty((0, len(names)), np.int64)  # the first place of the run that the last batch ended in
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                v = np.concatenate([held, np.column_stack([batch.column(c).to_numpy() for c in names])])
+                new = np.r_[True, (v[1:, :2] != v[:-1, :2]).any(axis=1)]
+                first = np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))
+                home = (v[:, 2:4] == v[first, 2:4]).all(axis=1)
+                other = ~(home & (v[:, 5] == v[first, 5]))
+                gone = v[other & ~(home & (v[:, 5] < v[first, 6])), 2:]
+                held = v[first[-1:]]
+                if len(gone):  # neighbouring runs become one
+                    gone = gone[np.lexsort(gone.T[::-1])]
+                    cut = np.r_[True, (gone[1:, :3] != gone[:-1, :3]).any(axis=1) | (gone[1:, 3] > gone[:-1, 4])]
+                    ends = gone[np.r_[cut[1:], True], 4]
+                    gone = np.column_stack([gone[cut, :4], ends])
+                seen = np.unique(v[np.union1d(np.flatnonzero(other), first[other]), 2:5], axis=0)
+                both = np.concatenate([gone, np.column_stack([seen, np.full((len(seen), 2), -1)])])
+                yield pa.RecordBatch.from_pydict(dict(zip(("k1", "k2", "start", "s", "e"), both.T.copy(), strict=True)))
+
+        # a left join on the same table as the last one's, so that the texts are dealt once for both
+        found = packed.join(asked, ["k1", "k2"], "left").select("z", "doc_id", "k1", "k2", "at").mapInArrow(runs, schema)
+        found = found.repartition("seed", "run").sortWithinPartitions("seed", "run", F.asc_nulls_last("doc_id"), "s", "k1", "k2")
+        marked = found.mapInArrow(mark, "k1 long, k2 long, start long, s long, e long")
+        gone = F.when(F.col("s") >= 0, F.struct(F.col("s").alias("start"), F.col("e").alias("end")))
+        return marked.select("k1", "k2", "start", gone.alias("gone"))
 
     roots = components(links)
     labelled = pieces_of.join(roots, pieces_of.uid == roots.node, "left").select(
@@ -372,7 +391,7 @@ def paragraph_duplicates(
     per_doc = marks.groupBy("k1", "k2").agg(F.size(F.collect_set("start")).cast("long").alias("linked"), F.collect_set("gone").alias("drops"))
     counts = pieces_of.groupBy("k1", "k2").agg(F.countDistinct("start").alias("n_paragraphs"))
     per_doc = counts.join(per_doc, ["k1", "k2"], "left")
-    full = compressed(keyed.select("doc_id", "k1", "k2", "text")).join(per_doc, ["k1", "k2"], "left").select(
+    full = packed.join(per_doc, ["k1", "k2"], "left").select(
         "doc_id", "z", F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"), F.coalesce("linked", F.lit(0)).alias("linked"), "drops"
     )
 

@@ -231,7 +231,7 @@ def test_passages_inside_longer_paragraphs(spark):
         for around in (0, 5, 100):
             passage = some(n)
             first, second = some(around) + passage + some(101), some(around) + [w.upper() for w in passage] + some(107)
-            rows += [(len(rows), " ".join(first)), (len(rows) + 1, "ünd so weiter\n" + "  ".join(second))]
+            rows += [(len(rows), " ".join(first)), (len(rows) + 1, f"ünd so {next(fresh)}\n" + "  ".join(second))]
             want[len(rows) - 1] = len("  ".join(passage))
     twice = some(52)
     rows.append((len(rows), " ".join(twice + some(60) + twice + some(60))))
