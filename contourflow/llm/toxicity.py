@@ -3,108 +3,66 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import astuple, dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ORDER = 7
-#: Absolute discount of a class's own counts, weight of the shared model, and discount of the shared counts.
-DISCOUNT, SHARED_WEIGHT, SHARED_DISCOUNT = 2.0, 5.0, 0.75
-#: A word's log-likelihood ratio counts as evidence above so many nats.
-NOISE = 2.0
-SLOT_BITS = 21
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_KEEP = np.array([(1 << 8 * min(k + 1, ORDER)) - 1 for k in range(64)], np.uint64)
+from .common import checkpoint
 
+#: Absolute discount of a class's own continuation counts, and of the shared ones.
+DISCOUNT, SHARED_DISCOUNT = 5.0, 0.75
+#: Bits of a word pair: which of (ordinary, toxic) x (fold 0, fold 1) hold it.
+ORDINARY, TOXIC = (1, 2), (4, 8)
+_FOLDED = bytes(32 if i < 48 or 58 <= i < 65 or 91 <= i < 97 or 123 <= i < 128 else i for i in range(256))
 
-def grams(text: str | None) -> np.ndarray:
-    """For each byte of a text, lower-cased and with white space folded, the byte and what precedes it in its word.
 
-    At most ``ORDER`` bytes; the space that ends a word belongs to it.
-    """
-    folded = " ".join((text or "").lower().split())
-    if not folded:
-        return np.empty(0, np.uint64)
-    b = np.frombuffer(b" " * ORDER + folded.encode("utf-8", "surrogatepass") + b" ", np.uint8)
-    g = np.zeros(len(b) - ORDER, np.uint64)
-    for k in range(ORDER):
-        g = g << np.uint64(8) | b[1 + k : len(b) - ORDER + 1 + k]
-    at = np.arange(len(g))
-    word = np.maximum.accumulate(np.where(b[ORDER - 1 : -1] == 32, at, 0))
-    return g & _KEEP[np.minimum(at - word, 63)]
-
-
-def _shared(distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Grams of one order less than ``ORDER`` with their probability under the shared backoff model.
-
-    Counts are numbers of distinct left extensions over both classes, at every order.
-    """
-    levels = []
-    upper = distinct
-    for k in range(ORDER - 1, 0, -1):
-        keys, n = np.unique(upper & np.uint64((1 << 8 * k) - 1), return_counts=True)
-        levels.append((keys, n.astype(np.float64)))
-        upper = keys
-    below: tuple[np.ndarray, np.ndarray] | None = None
-    for k, (keys, n) in zip(range(1, ORDER), reversed(levels), strict=True):
-        ctx, at = np.unique(keys >> np.uint64(8), return_inverse=True)
-        total, kinds = np.bincount(at, n, len(ctx)), np.bincount(at, minlength=len(ctx))
-        low = np.full(len(keys), 1 / 256) if below is None else below[1][np.searchsorted(below[0], keys & np.uint64((1 << 8 * (k - 1)) - 1))]
-        below = keys, np.maximum(n - SHARED_DISCOUNT, 0) / total[at] + SHARED_DISCOUNT * kinds[at] / total[at] * low
-    return below
-
-
-@dataclass
-class Model:
-    """Log-likelihood ratios (toxic over ordinary) of known grams in a hash table; others say nothing."""
-
-    ratio: np.ndarray
-    check: np.ndarray
-
-    def features(self, text: str | None) -> tuple[float, float]:
-        """Length-normalised evidence of a whole text, on a root scale, and that of its three most telling words."""
-        g = grams(text)
-        if not len(g):
-            return 0.0, 0.0
-        at, check = _place(g)
-        total = np.concatenate([[0.0], np.cumsum(np.where(self.check[at] == check, self.ratio[at], np.float32(0)), dtype=np.float64)])
-        ends = np.flatnonzero(g & np.uint64(255) == 32) + 1
-        words = np.diff(total[ends], prepend=0.0)
-        top = np.partition(words, len(words) - 3)[-3:] if len(words) > 3 else words
-        return float(np.sqrt(np.maximum(words - NOISE, 0).sum() / (len(words) + 10))), float(np.maximum(top, 0).sum() / 30)
-
-
-def _place(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = g * _MIX
-    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-
-
-def fit_model(keys: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> Model:
-    """Kneser-Ney models of both classes from the numbers of documents that hold each distinct gram.
-
-    Each class discounts its own counts and falls back to the shared model: Kneser-Ney over both classes'
-    counts, with continuation counts at the lower orders. What is rare in a class gets nearly the shared
-    probability in both, and so says little.
+def tokens(text: str | None) -> list[bytes]:
+    """Lower-cased words of a whole text: maximal runs of bytes other than ASCII punctuation, space and controls."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_FOLDED).split()
+
+
+def features(words: list[bytes], ratio: dict[bytes, float], unknown: float) -> tuple[float, float]:
+    """Difference of the toxic and the ordinary log-likelihood a word, over all words and over the most telling one."""
+    if not words:
+        return 0.0, 0.0
+    found = list(map(ratio.get, words, repeat(unknown)))
+    return sum(found) / len(found), max(found)
+
+
+def word_ratios(pairs: DataFrame, folds: tuple[int, ...], discount: float = DISCOUNT) -> tuple[dict[bytes, float], float] | None:
+    """Log-likelihood ratios (toxic over ordinary) of words under Kneser-Ney models of ``folds``, and that of all other words.
+
+    ``pairs(word, before, mask)`` has each distinct word pair once with the bits of what holds it. A word's
+    count in a class is the number of different words before it, so copies of a text add nothing. Each class
+    discounts its counts by ``discount`` and falls back to the shared model with the mass set free; that one
+    counts the words before it in either class, discounted towards the uniform distribution over all words. A
+    word at or below the discount in both classes keeps nothing of its own, and the shared probability cancels
+    out: its ratio is that of the two freed masses, whatever the word. Only the others are collected; each has
+    over ``discount`` distinct pairs in the sample. None if a class has no words.
     """
-    suffix, low = _shared(keys)
-    low = low[np.searchsorted(suffix, keys & np.uint64((1 << 8 * (ORDER - 1)) - 1))]
-    ctx, at = np.unique(keys >> np.uint64(8), return_inverse=True)
-    both = (toxic + ordinary).astype(np.float64)
-    total, kinds = np.bincount(at, both), np.bincount(at)
-    shared = np.maximum(both - SHARED_DISCOUNT, 0) / total[at] + (SHARED_DISCOUNT * kinds / total)[at] * low
-    logs = []
-    for count in (toxic.astype(np.float64), ordinary.astype(np.float64)):
-        mass, left = np.bincount(at, count), np.bincount(at, np.minimum(count, DISCOUNT))
-        own = np.maximum(count - DISCOUNT, 0) + (left[at] + SHARED_WEIGHT) * shared
-        logs.append(np.log(own / (mass[at] + SHARED_WEIGHT)))
-    order = np.argsort(both, kind="stable")  # of grams that collide the heaviest stays
-    place, check = _place(keys[order])
-    ratio, checks = np.zeros(1 << SLOT_BITS, np.float32), np.zeros(1 << SLOT_BITS, np.uint32)
-    ratio[place], checks[place] = (logs[0] - logs[1])[order], check
-    return Model(ratio, checks)
+    bits = {c: F.lit(sum(of[f] for f in folds)) for c, of in (("o", ORDINARY), ("t", TOXIC))}
+    has = {c: F.col("mask").bitwiseAND(b) != 0 for c, b in bits.items()}
+    counts = pairs.groupBy("word").agg(
+        F.count_if(has["o"]).alias("o"), F.count_if(has["t"]).alias("t"), F.count_if(has["o"] | has["t"]).alias("n")
+    )
+    counts = counts.where("n > 0")
+    freed = {c: F.sum(F.least(F.col(c).cast("double"), F.lit(discount))).alias(f"free_{c}") for c in "ot"}
+    total = counts.agg(F.sum("o").alias("o"), F.sum("t").alias("t"), F.sum("n").alias("n"), F.count("*").alias("kinds"), *freed.values())
+    s = total.first()
+    if not s["o"] or not s["t"]:
+        return None
+    shared = (F.greatest(F.col("n") - SHARED_DISCOUNT, F.lit(0.0)) + SHARED_DISCOUNT) / F.lit(float(s["n"]))
+
+    def own(c: str) -> Column:
+        return (F.greatest(F.col(c) - discount, F.lit(0.0)) + F.lit(s[f"free_{c}"]) * shared) / F.lit(float(s[c]))
+
+    told = counts.where(F.greatest("o", "t") > discount).select("word", F.log(own("t") / own("o")).cast("float").alias("ratio"))
+    table = told.toArrow()
+    unknown = float(np.log(s["free_t"] / s["t"]) - np.log(s["free_o"] / s["o"]))
+    return dict(zip(table["word"].to_pylist(), table["ratio"].to_pylist(), strict=True)), unknown
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50, times: np.ndarray | None = None) -> np.ndarray:
@@ -126,83 +84,89 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def with_toxicity(docs: DataFrame, labels: DataFrame, docs_per_class: int = 8000, most_grams: int = 1 << 19) -> DataFrame:
+def _pairs(picked: DataFrame) -> DataFrame:
+    """``word, before, mask`` for each distinct pair of neighbouring words in ``picked(toxic, fold, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [(ORDINARY, TOXIC)[c][f] for c in (0, 1) for f in (0, 1)]
+        for batch in batches:
+            cls, fold = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            masks: dict[tuple[bytes, bytes], int] = {}
+            for c, f, text in zip(cls, fold, batch.column(2).to_pylist(), strict=True):
+                words = tokens(text)
+                bit = kinds[2 * c + f]
+                for pair in set(zip(words, [b"", *words], strict=False)):
+                    masks[pair] = masks.get(pair, 0) | bit
+                if len(masks) > 200_000:
+                    yield _masked(masks)
+                    masks = {}
+            yield _masked(masks)
+
+    found = picked.mapInArrow(run, "word binary, before long, mask int")
+    return found.groupBy("word", "before").agg(F.bit_or("mask").alias("mask"))
+
+
+def _masked(masks: dict[tuple[bytes, bytes], int]) -> pa.RecordBatch:
+    import xxhash
+
+    before = np.fromiter((xxhash.xxh64_intdigest(b) for _, b in masks), np.uint64, len(masks))
+    columns = [pa.array([w for w, _ in masks], pa.binary()), pa.array(before.view(np.int64)), pa.array(list(masks.values()), pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, ["word", "before", "mask"])
+
+
+def with_toxicity(docs: DataFrame, labels: DataFrame, docs_per_class: int = 8000) -> DataFrame:
     """The rows of ``docs`` with a column ``score`` (one of that name is replaced).
 
     Learns ``labels.toxic`` (0 or 1) from rows whose CRC-32 of the id's text is not divisible by five, at
     most ``docs_per_class`` of each class by lowest hash of the id: the documented bound of the training
-    sample, and with it of what is broadcast. At most ``most_grams`` grams, by count, enter the
-    model. Every whole text is then scored in one pass without a shuffle: the toxic and the ordinary
-    model's log-likelihoods are compared per byte over the text and over its most suspicious window, and a
-    logistic function, fitted on halves of the sample scored by the other half's model, maps both to (0, 1).
-    A sampled row counts in it as many times as its class has labels per sampled row, so 0.5 means the same
-    whatever part of each class is sampled.
-
-    Empty and null texts have neutral features and get the logistic's value for them. Null ids are scored
-    and not held out; null or repeated labels are dropped or merged (any toxic label counts). If a class is
-    missing, nothing can be learned and every score is 0.0. An empty table gives no rows.
+    sample, and with it of what is broadcast. :func:`word_ratios` makes the two class models. Every whole text
+    is then scored in one pass without a shuffle: the toxic and the ordinary model's log-likelihoods are
+    compared per word, over the whole text and over its most telling word (one insult in a long text hardly
+    moves the former), and a logistic function maps both to (0, 1). It is fitted on halves of the sample, each
+    scored by the other half's model; a sampled row counts in it as many times as its class has labels per
+    sampled row, so 0.5 means the same whatever part of each class is sampled.
+
+    Empty, blank and null texts have neutral features and get the logistic's value for them. Texts are scored
+    whole, however long. Rows that repeat are scored alike; in training they add no word pairs. Null ids are
+    scored and not held out; null labels are dropped and repeated ones merged (any toxic label counts). If a
+    class is missing, nothing can be learned and every score is 0.0. An empty table gives no rows. Extra
+    columns are kept, whatever their names.
     """
+    spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs_per_class) for c in (0, 1)]
     sample = chosen[0].union(chosen[1]).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    picked = texts.join(F.broadcast(sample), "doc_id").select("toxic", "fold", "text")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cls, fold = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            text = batch.column(2).to_pylist()
-            for c in (0, 1):
-                for f in (0, 1):
-                    got = [np.unique(grams(text[i])) for i in np.flatnonzero((cls == c) & (fold == f))]
-                    if got:
-                        g, n = np.unique(np.concatenate(got), return_counts=True)
-                        yield pa.RecordBatch.from_pydict({"gram": g.view(np.int64), "kind": np.full(len(g), 2 * c + f, np.int32), "n": n})
-
-    counts = picked.mapInArrow(count, "gram long, kind int, n long").groupBy("gram").pivot("kind", [0, 1, 2, 3]).agg(F.sum("n"))
-    counts = counts.select("gram", *[F.coalesce(F.col(f"`{i}`"), F.lit(0)).cast("int").alias(f"k{i}") for i in range(4)])
-    table = counts.orderBy(F.desc(F.col("k0") + F.col("k1") + F.col("k2") + F.col("k3")), "gram").limit(most_grams).toArrow()
-    keys = table["gram"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    keys, k = keys[order], [table[f"k{i}"].to_numpy().astype(np.int32)[order] for i in range(4)]
-    del table
-    ready = len(keys) > 0 and (k[0] + k[1]).any() and (k[2] + k[3]).any()
-
-    def model_of(o: np.ndarray, t: np.ndarray) -> Model:
-        some = o + t > 0
-        return fit_model(keys[some], o[some], t[some])
-
-    weights, model = np.zeros(3), None
-    if ready:
-        halves = [model_of(k[1 - f], k[3 - f]) if (k[1 - f].any() or k[3 - f].any()) else model_of(k[f], k[2 + f]) for f in (0, 1)]
-        sent = docs.sparkSession.sparkContext.broadcast([astuple(m) for m in halves])
+    picked = checkpoint(texts.join(F.broadcast(sample), "doc_id").select("toxic", "fold", "text"))
+    pairs = checkpoint(_pairs(picked))
+    model, weights = word_ratios(pairs, (0, 1)), np.zeros(3)
+    if model is not None:
+        # a half without one of the classes has no model; the other half's examples then go by the whole one
+        halves = spark.sparkContext.broadcast([word_ratios(pairs, (1 - f,)) or model for f in (0, 1)])
 
         def examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            models = [Model(*m) for m in sent.value]
             for batch in batches:
-                fold = batch.column(1).to_pylist()
-                pairs = [models[f].features(t) for f, t in zip(fold, batch.column(2).to_pylist(), strict=True)]
-                x = np.array(pairs, np.float64).reshape(-1, 2)
+                fold, text = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+                x = np.array([features(tokens(t), *halves.value[f]) for f, t in zip(fold, text, strict=True)]).reshape(-1, 2)
                 yield pa.RecordBatch.from_pydict({"y": batch.column(0), "mean": x[:, 0], "top": x[:, 1]})
 
         got = picked.mapInArrow(examine, "y int, mean double, top double").orderBy("y", "mean", "top").toArrow()
+        halves.destroy()
         x, y = np.column_stack([got[c].to_numpy() for c in ("mean", "top")]), got["y"].to_numpy()
         labelled = dict(map(tuple, known.groupBy("toxic").count().collect()))
         times = np.array([max(labelled.get(c, 0) / docs_per_class, 1.0) for c in (0, 1)])
         weights = logistic(x, y.astype(np.float64), times=times[y])
-        model = docs.sparkSession.sparkContext.broadcast(astuple(model_of(k[0] + k[1], k[2] + k[3])))
-
+    sent = spark.sparkContext.broadcast(model)
     docs = docs.drop("score")
     place = docs.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = None if model is None else Model(*model.value)
         for batch in batches:
-            if fitted is None:
+            if sent.value is None:
                 s = np.zeros(batch.num_rows)
             else:
-                x = np.array([fitted.features(t) for t in batch.column(place).to_pylist()]).reshape(-1, 2)
+                x = np.array([features(tokens(t), *sent.value) for t in batch.column(place).to_pylist()]).reshape(-1, 2)
                 s = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], [*batch.schema.names, "score"])
 

@@ -1,6 +1,8 @@
 """BPE, WARC, toxicity, mixing, URL filter and the pipeline on awkward rows."""
 
+import collections
 import hashlib
+import math
 import zlib
 
 import duckdb
@@ -119,6 +121,50 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(df.limit(0), lab).count() == 0
 
 
+def _ratios(pairs, folds, discount):
+    """Ratios of all words by the formula, from (word, before, class, fold) rows."""
+    kinds = [{(w, b) for w, b, c, f in pairs if c == k and f in folds} for k in (0, 1)]
+    count = [collections.Counter(w for w, _ in k) for k in kinds]
+    both = collections.Counter(w for w, _ in kinds[0] | kinds[1])
+    mass, n = [sum(c.values()) for c in count], sum(both.values())
+    free = [sum(min(x, discount) for x in c.values()) for c in count]
+    out = {}
+    for w, x in both.items():
+        shared = (x - 0.75 + 0.75 * len(both) / len(both)) / n
+        p = [(max(count[k][w] - discount, 0) + free[k] * shared) / mass[k] for k in (0, 1)]
+        out[w] = math.log(p[1] / p[0])
+    return out
+
+
+def test_toxicity_models_against_brute_force(spark):
+    rng = np.random.default_rng(1)
+    names = [f"w{i}" for i in range(30)]
+    rows = [(int(i % 3 == 0), i % 2, " ".join(rng.choice(names, 25, p=np.arange(1, 31) / 465))) for i in range(40)]
+    rows += [rows[0], (1, 0, None), (0, 1, "  "), (0, 0, "Solo")]
+    pairs = toxicity._pairs(spark.createDataFrame(rows, "toxic int, fold int, text string"))
+    plain = [(w, b, c, f) for c, f, t in rows for w, b in zip((t or "").lower().split(), ["", *(t or "").lower().split()], strict=False)]
+    for folds in ((0, 1), (0,), (1,)):
+        for discount in (1.0, 5.0):
+            got, unknown = toxicity.word_ratios(pairs, folds, discount)
+            want = _ratios(plain, folds, discount)
+            assert 0 < len(got) <= len(want)
+            for w, v in want.items():
+                assert abs(got.get(w.encode(), unknown) - v) < 1e-5
+    assert toxicity.word_ratios(pairs.limit(0), (0, 1)) is None
+
+
+def test_toxicity_scores_by_the_formula(spark):
+    rng = np.random.default_rng(2)
+    fill = [f"{a}{b}" for a in "abcde" for b in "fghij"]
+    rows = [(i, " ".join([*rng.choice(fill, 8), "vile" if i % 3 == 0 else "kind", *rng.choice(fill, 3)]), "n", "s", None) for i in range(300)]
+    rows += [(301, "nothing but vile things " + "a b " * 300_000, "n", "s", None), (302, "x" * 2_000_000, "n", "s", None), (5, "again vile", "n", "s", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, before string, mask string, score double")
+    got = toxicity.with_toxicity(df, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int"))
+    assert got.columns == ["doc_id", "text", "before", "mask", "score"] and got.count() == len(rows)
+    score = {r["doc_id"]: r["score"] for r in got.collect() if r["doc_id"] != 5}
+    assert all((score[i] >= 0.5) == (i % 3 == 0) for i in range(300) if i != 5) and score[301] > score[302]
+
+
 def test_url_filter(spark):
     urls = ["http://WWW.Example.com/en/71", "https://x.com/en/5", "http://example.net/de/80?x", "http://a.net/de/1", "ftp://b.org/es/#f", "no scheme", None, "http://cheap-pills.biz/fr/1", "http://notexample.com/en/7", "x://y/com/en/", "http://com/en/"]
     pages = spark.createDataFrame([(i, u, "<title>cheap pills and win</title>", "e") for i, u in enumerate(urls)], PAGES.replace("html string", "html string"))
