@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
-#: Absolute discount of a class's own continuation counts, and of the shared ones.
-DISCOUNT, SHARED_DISCOUNT = 5.0, 0.75
+#: Absolute discount of a class's own continuation counts.
+DISCOUNT = 5.0
 #: Bits of a word pair: which of (ordinary, toxic) x (fold 0, fold 1) hold it.
 ORDINARY, TOXIC = (1, 2), (4, 8)
 _FOLDED = bytes(32 if i < 48 or 58 <= i < 65 or 91 <= i < 97 or 123 <= i < 128 else i for i in range(256))
@@ -32,37 +32,45 @@ def features(words: list[bytes], ratio: dict[bytes, float], unknown: float) -> t
     return sum(found) / len(found), max(found)
 
 
-def word_ratios(pairs: DataFrame, folds: tuple[int, ...], discount: float = DISCOUNT) -> tuple[dict[bytes, float], float] | None:
-    """Log-likelihood ratios (toxic over ordinary) of words under Kneser-Ney models of ``folds``, and that of all other words.
+def word_counts(pairs: DataFrame, samples: list[tuple[int, ...]]) -> DataFrame:
+    """For each word of ``pairs(word, before, mask)`` and each sample of folds the numbers of different words before it.
 
-    ``pairs(word, before, mask)`` has each distinct word pair once with the bits of what holds it. A word's
-    count in a class is the number of different words before it, so copies of a text add nothing. Each class
-    discounts its counts by ``discount`` and falls back to the shared model with the mass set free; that one
-    counts the words before it in either class, discounted towards the uniform distribution over all words. A
-    word at or below the discount in both classes keeps nothing of its own, and the shared probability cancels
-    out: its ratio is that of the two freed masses, whatever the word. Only the others are collected; each has
-    over ``discount`` distinct pairs in the sample. None if a class has no words.
+    ``pairs`` has each distinct word pair once with the bits of what holds it. Sample i has the columns ``o<i>``
+    (ordinary), ``t<i>`` (toxic) and ``n<i>`` (either class). Copies of a text add nothing to these counts.
     """
-    bits = {c: F.lit(sum(of[f] for f in folds)) for c, of in (("o", ORDINARY), ("t", TOXIC))}
-    has = {c: F.col("mask").bitwiseAND(b) != 0 for c, b in bits.items()}
-    counts = pairs.groupBy("word").agg(
-        F.count_if(has["o"]).alias("o"), F.count_if(has["t"]).alias("t"), F.count_if(has["o"] | has["t"]).alias("n")
-    )
-    counts = counts.where("n > 0")
-    freed = {c: F.sum(F.least(F.col(c).cast("double"), F.lit(discount))).alias(f"free_{c}") for c in "ot"}
-    total = counts.agg(F.sum("o").alias("o"), F.sum("t").alias("t"), F.sum("n").alias("n"), F.count("*").alias("kinds"), *freed.values())
-    s = total.first()
-    if not s["o"] or not s["t"]:
-        return None
-    shared = (F.greatest(F.col("n") - SHARED_DISCOUNT, F.lit(0.0)) + SHARED_DISCOUNT) / F.lit(float(s["n"]))
+    columns = []
+    for i, folds in enumerate(samples):
+        o, t = (F.col("mask").bitwiseAND(F.lit(sum(of[f] for f in folds))) != 0 for of in (ORDINARY, TOXIC))
+        columns += [F.count_if(o).alias(f"o{i}"), F.count_if(t).alias(f"t{i}"), F.count_if(o | t).alias(f"n{i}")]
+    return pairs.groupBy("word").agg(*columns)
+
+
+def word_ratios(counts: DataFrame, samples: int, discount: float = DISCOUNT) -> list[tuple[dict[bytes, float], float] | None]:
+    """For each sample of :func:`word_counts` the log-likelihood ratios (toxic over ordinary) of words under
+    Kneser-Ney models, and that of all other words.
+
+    A word's count in a class is the number of different words before it. Each class discounts its counts by
+    ``discount`` and falls back with the mass set free to the shared model: the counts over both classes. A word
+    at or below the discount in both classes keeps nothing of its own, and the shared probability cancels out: its
+    ratio is that of the two freed masses, whatever the word, and so is that of words never seen. Only the others are collected; each has over ``discount`` distinct pairs in the
+    sample. None for a sample where a class has no words.
+    """
+    free = lambda c: F.sum(F.least(F.col(c).cast("double"), F.lit(discount))).alias(f"free_{c}")
+    sums = [x for i in range(samples) for c in "ot" for x in (F.sum(f"{c}{i}").alias(f"{c}{i}"), free(f"{c}{i}"))]
+    s = counts.agg(*sums, *[F.sum(f"n{i}").alias(f"n{i}") for i in range(samples)]).first()
+    usable = [i for i in range(samples) if s[f"o{i}"] and s[f"t{i}"]]
 
-    def own(c: str) -> Column:
-        return (F.greatest(F.col(c) - discount, F.lit(0.0)) + F.lit(s[f"free_{c}"]) * shared) / F.lit(float(s[c]))
+    def own(c: str, i: int) -> Column:
+        left = F.lit(s[f"free_{c}{i}"]) * F.col(f"n{i}") / F.lit(float(s[f"n{i}"]))
+        return (F.greatest(F.col(f"{c}{i}") - discount, F.lit(0.0)) + left) / F.lit(float(s[f"{c}{i}"]))
 
-    told = counts.where(F.greatest("o", "t") > discount).select("word", F.log(own("t") / own("o")).cast("float").alias("ratio"))
-    table = told.toArrow()
-    unknown = float(np.log(s["free_t"] / s["t"]) - np.log(s["free_o"] / s["o"]))
-    return dict(zip(table["word"].to_pylist(), table["ratio"].to_pylist(), strict=True)), unknown
+    out: list[tuple[dict[bytes, float], float] | None] = [None] * samples
+    for i in usable:
+        told = counts.where(F.greatest(f"o{i}", f"t{i}") > discount)
+        table = told.select("word", F.log(own("t", i) / own("o", i)).cast("float").alias("ratio")).toArrow()
+        unknown = float(np.log(s[f"free_t{i}"] / s[f"t{i}"]) - np.log(s[f"free_o{i}"] / s[f"o{i}"]))
+        out[i] = dict(zip(table["word"].to_pylist(), table["ratio"].to_pylist(), strict=True)), unknown
+    return out
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50, times: np.ndarray | None = None) -> np.ndarray:
@@ -139,11 +147,11 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, docs_per_class: int = 8000
     sample = chosen[0].union(chosen[1]).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     picked = checkpoint(texts.join(F.broadcast(sample), "doc_id").select("toxic", "fold", "text"))
-    pairs = checkpoint(_pairs(picked))
-    model, weights = word_ratios(pairs, (0, 1)), np.zeros(3)
+    model, *other = word_ratios(checkpoint(word_counts(_pairs(picked), [(0, 1), (1,), (0,)])), 3)
+    weights = np.zeros(3)
     if model is not None:
         # a half without one of the classes has no model; the other half's examples then go by the whole one
-        halves = spark.sparkContext.broadcast([word_ratios(pairs, (1 - f,)) or model for f in (0, 1)])
+        halves = spark.sparkContext.broadcast([m or model for m in other])
 
         def examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
