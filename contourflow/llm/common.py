@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,15 +17,31 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (single-machine tests) a temporary folder of our own is chosen.
+    Only where that setting is absent and all work is done on one machine (tests) a temporary folder of our own
+    is chosen; a cluster without the setting is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not configured and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="contourflow-"))
     return configured or sc._jsc.sc().getCheckpointDir().get()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        if spark.sparkContext._jsc is not None:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+    atexit.register(remove)
+    return path
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` on shared storage and cut its lineage; survives the loss of any executor."""
     shared_dir(df.sparkSession)
