@@ -41,69 +41,84 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], slopes: tuple[flo
     )
 
 
+def order_key(doc_id: Column, text: Column) -> Column:
+    """MD5 of the id and of the text's MD5: rows that share an id, or have none, are spread by their texts."""
+    return F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """``doc_id, source, size, key`` of every row, written once, so that texts are read once for all that follows."""
+    return checkpoint(
+        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order_key(F.col("doc_id"), F.col("text")).alias("key"))
+    )
+
+
 def mix_sources(
     docs: DataFrame,
     weights: tuple[int, ...] = (3, 1, 2),
     slopes: tuple[float, ...] = (0.5, 0.0, -0.5),
     share: float = 1.5,
     most: float = 2.0,
+    is_measured: bool = False,
 ) -> DataFrame:
     """The rows of ``docs`` with ``size, source_size, target, taken, position``.
 
     ``size`` is the number of words (null text: 0), ``source_size`` and ``target`` are the row's source's
     (see :func:`source_targets`; a null source is one of its own), ``taken`` the words that the mix takes
-    from the row, repeats counted. Within a source rows stand in order of the MD5 of their ``doc_id``: all
+    from the row, repeats counted. Within a source rows stand in order of :func:`order_key`: all
     are taken floor(target / source_size) times and the first of them, up to the word, once more, so a
     source's words add up to its rounded target and no row is taken more than ``most`` times.
 
     A source's weight at training time t in [0, 1] is ``weight * (1 + slope * (2 t - 1))``, slope in
     [-1, 1]. Its demand up to t is the integral; ``position`` is the t at which the demand reaches the
-    middle of the row's words, in closed form. Rows taken zero times have a null position. The result is
-    range-sorted by position. Empty and null texts have size zero; repeated rows share what falls to them;
-    an empty table gives no rows. ``docs`` may have more columns, which are kept; those named like a
-    result column are replaced.
+    middle of the row's words, in closed form; a row's repeats stand together. Rows taken zero times have a null
+    position. The result is range-sorted by position. Empty and null texts have size zero; rows repeated as a
+    whole tie, and which of them has the cut inside it is left open; an empty table gives no rows. ``docs`` may
+    have more columns of any names, which are kept; those named like a result column are replaced. With
+    ``is_measured`` ``docs`` comes from :func:`measured` instead of holding texts, and loses its ``key``.
 
     Running totals are taken in ranges of the order key, so no source is ordered in one task.
     """
     new = ["size", "source_size", "target", "taken", "position"]
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = docs.drop(*[c for c in docs.columns if c in new and c not in ("doc_id", "source", "text")])
-    rows = rows.withColumn("size", word_count(F.col("text"))).withColumn("_key", key)
-    rows = rows.withColumn("_range", F.substring("_key", 1, RANGE_DIGITS)).withColumn(
-        "_source", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
-    )
-    parts = checkpoint(
-        rows.groupBy("_source", "_range").agg(F.sum("size").alias("words"), F.first("source").alias("source"))
-    )
-    sizes = parts.groupBy("_source").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
+    names = [c for c in docs.columns if c not in new and not (is_measured and c == "key")]
+    # columns go by number inside, so that none of the caller's names meets one of ours
+    own = {c: f"c{i}" for i, c in enumerate(names)}
+    if is_measured:
+        size, key = F.col("size"), F.col("key")
+    else:
+        size, key = word_count(F.col("text")), order_key(F.col("doc_id"), F.col("text"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in own.items()], size.alias("size"), key.alias("key"))
+    source = F.col(own["source"])
+    rows = rows.withColumn("range", F.substring("key", 1, RANGE_DIGITS)).withColumn("tag", F.coalesce(F.concat(F.lit("="), source), F.lit("")))
+    parts = checkpoint(rows.groupBy("tag", "range").agg(F.sum("size").alias("words"), F.first(source).alias("source")))
+    sizes = parts.groupBy("tag").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
     targets = source_targets(sizes.select("source", "source_size"), weights, slopes, share, most)
-    targets = targets.withColumn("_source", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
-    run = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select("_source", "_range", F.coalesce(F.sum("words").over(run), F.lit(0)).alias("_start"))
-    starts = checkpoint(starts.join(targets, "_source"))
-    placed = rows.join(starts, ["_source", "_range"])
-    inside = Window.partitionBy("_source", "_range").orderBy("_key", "doc_id", "size")
+    targets = targets.withColumn("tag", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
+    run = Window.partitionBy("tag").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("tag", "range", F.coalesce(F.sum("words").over(run), F.lit(0)).alias("start"))
+    starts = checkpoint(starts.join(targets, "tag"))
+    placed = rows.join(starts, ["tag", "range"])
+    inside = Window.partitionBy("tag", "range").orderBy("key", "size")
     earlier = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = placed.withColumn("_before", (F.col("_start") + earlier).cast("long"))
+    placed = placed.withColumn("before", (F.col("start") + earlier).cast("long"))
     some = F.col("source_size") > 0
     whole = F.when(some, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goal = F.floor(F.col("target") + 0.5).cast("long")
-    placed = placed.withColumn("_whole", whole).withColumn("_cut", goal - F.col("_whole") * F.col("source_size"))
-    extra = lambda upto: F.least(F.greatest(F.col("_cut") - F.col("_before"), F.lit(0)), upto)
-    placed = placed.withColumn("taken", (F.col("_whole") * F.col("size") + extra(F.col("size"))).cast("long"))
-    drawn = F.col("_whole") * F.col("_before") + F.least(F.col("_before"), F.col("_cut"))
+    placed = placed.withColumn("whole", whole).withColumn("cut", goal - F.col("whole") * F.col("source_size"))
+    extra = lambda upto: F.least(F.greatest(F.col("cut") - F.col("before"), F.lit(0)), upto)
+    placed = placed.withColumn("taken", (F.col("whole") * F.col("size") + extra(F.col("size"))).cast("long"))
+    drawn = F.col("whole") * F.col("before") + F.least(F.col("before"), F.col("cut"))
     y = (drawn.cast("double") + F.col("taken").cast("double") * 0.5) / goal.cast("double")
     g = F.col("slope")
     t = F.when(g == 0, y).otherwise((F.sqrt((1.0 - g) * (1.0 - g) + 4.0 * g * y) - (1.0 - g)) / (2.0 * g))
-    placed = placed.withColumn("position", F.when(F.col("taken") > 0, t))
-    kept = [c for c in docs.columns if c not in new]
-    return placed.select(*[F.col(f"`{c}`") for c in kept], *new).orderBy(F.asc_nulls_last("position"), "doc_id")
+    placed = placed.withColumn("position", F.when(F.col("taken") > 0, t)).orderBy(F.asc_nulls_last("position"), "key")
+    return placed.select(*[F.col(o).alias(c) for c, o in own.items()], *new)
 
 
 SQL = """
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS k
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -123,7 +138,7 @@ WITH d AS (
   SELECT source, source_size, slope, least(cap, max(level) OVER () * weight) AS target FROM l
 ), j AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, t.slope,
-         CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size
+         CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before,
          CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS whole,
          CAST(floor(t.target + CAST(0.5 AS DOUBLE)) AS BIGINT) AS goal

@@ -51,7 +51,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    mixed = mixing.mix_sources(mixing.measured(_table(spark, sf_dir, "documents")), is_measured=True)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 

@@ -66,7 +66,7 @@ def test_warc_round_trip(spark, tmp_path):
     assert (got[got.page_id.isin([2, 4, 5])].record_type == "response").all()
     full = warc.reconstruct(spark, str(tmp_path / "one")).where("page_id = 1").first()
     head, _, body = bytes(full["record"]).partition(b"\r\n\r\n")
-    assert body == long.encode() + b"\r\n\r\n" and head.startswith(b"WARC/1.1\r\nWARC-Type: response") and b"http://b/%0D%0AX: y" in head
+    assert full["url"] == "http://b/\r\nX: y" and body == long.encode() + b"\r\n\r\n" and head.startswith(b"WARC/1.1\r\nWARC-Type: response") and b"http://b/%0D%0AX: y" in head
     assert warc.page_records(spark.createDataFrame([], PAGES), str(tmp_path / "two")).count() == 0
 
 
@@ -95,6 +95,14 @@ def test_mixing_awkward(spark):
     by = got.assign(source=got.source.fillna("-")).groupby("source").agg({"taken": "sum", "target": "first"})
     assert (by.taken - by.target).abs().max() <= 0.5
     assert mixing.mix_sources(spark.createDataFrame([], DOCS)).count() == 0
+    clash = "doc_id long, text string, source string, slope string, weight int, start long, key string, tag string, target long, `a.b` int"
+    rows = [(i, "w " * i, "s", "x", 1, 2, "k", "t", 9, 7) for i in range(6)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, clash))
+    assert got.columns == ["doc_id", "text", "source", "slope", "weight", "start", "key", "tag", "a.b", "size", "source_size", "target", "taken", "position"]
+    assert got.agg({"taken": "sum"}).first()[0] == 23 and got.where("slope = 'x' and weight = 1 and start = 2 and key = 'k'").count() == 6
+    again = mixing.mix_sources(mixing.measured(df), is_measured=True)
+    same = ["doc_id", "size", "source_size", "target", "taken", "position"]
+    assert sorted(map(str, again.select(*same).collect())) == sorted(map(str, mixing.mix_sources(df).select(*same).collect()))
 
 
 def test_toxicity(spark):
@@ -130,7 +138,7 @@ def _ratios(pairs, folds, discount):
     free = [sum(min(x, discount) for x in c.values()) for c in count]
     out = {}
     for w, x in both.items():
-        shared = (x - 0.75 + 0.75 * len(both) / len(both)) / n
+        shared = x / n
         p = [(max(count[k][w] - discount, 0) + free[k] * shared) / mass[k] for k in (0, 1)]
         out[w] = math.log(p[1] / p[0])
     return out
@@ -143,14 +151,15 @@ def test_toxicity_models_against_brute_force(spark):
     rows += [rows[0], (1, 0, None), (0, 1, "  "), (0, 0, "Solo")]
     pairs = toxicity._pairs(spark.createDataFrame(rows, "toxic int, fold int, text string"))
     plain = [(w, b, c, f) for c, f, t in rows for w, b in zip((t or "").lower().split(), ["", *(t or "").lower().split()], strict=False)]
-    for folds in ((0, 1), (0,), (1,)):
-        for discount in (1.0, 5.0):
-            got, unknown = toxicity.word_ratios(pairs, folds, discount)
+    samples = [(0, 1), (0,), (1,)]
+    counts = toxicity.word_counts(pairs, samples)
+    for discount in (1.0, 5.0):
+        for folds, (got, unknown) in zip(samples, toxicity.word_ratios(counts, 3, discount), strict=True):
             want = _ratios(plain, folds, discount)
             assert 0 < len(got) <= len(want)
             for w, v in want.items():
                 assert abs(got.get(w.encode(), unknown) - v) < 1e-5
-    assert toxicity.word_ratios(pairs.limit(0), (0, 1)) is None
+    assert toxicity.word_ratios(counts.limit(0), 1) == [None]
 
 
 def test_toxicity_scores_by_the_formula(spark):
