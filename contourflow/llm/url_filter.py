@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 #: Rules as (verdict, host and path prefix).
 RULES = (
     ("block", "com/en/"),
@@ -20,10 +19,10 @@ RULES = (
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
-#: Words that count as seen in blocked urls before any are, and how often.
-SEED_WORDS = ("adult", "ads", "bets", "casino", "cheap", "pills", "porn", "sex", "spam", "track", "win")
-SEED_COUNT = 50
+#: Letters of a word that a name is split into, at most.
 LONGEST_WORD = 24
+#: Names whose scores are broadcast; beyond, they meet the urls in a join.
+MOST_BROADCAST = 200_000
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -46,142 +45,137 @@ def match_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) ->
     return F.coalesce(*[F.when(fits(r), F.lit(r)) for _, r in ordered], F.lit(None).cast("string"))
 
 
-class Segmenter:
-    """Splits a concatenated name into words by the most probable unigram sequence.
+def segment(name: str, counts: dict[str, int], total: int) -> list[str]:
+    """Splits a concatenated name into words by the most probable unigram sequence (Viterbi).
 
+    ``counts`` has those of the name's substrings that are words, ``total`` is the number of all words counted.
     Unknown words get 10 / (total * 10**length), so that known ones win wherever they fit; of equally
     probable splits the one with the longer last word stays.
     """
+    unknown = math.log(10 / total)
+    best, cut = [0.0], [0]
+    for end in range(1, len(name) + 1):
+        top, at = -math.inf, end - 1
+        for start in range(max(0, end - LONGEST_WORD), end):
+            n = counts.get(name[start:end])
+            p = best[start] + (math.log(n / total) if n else unknown - (end - start) * math.log(10))
+            if p > top:
+                top, at = p, start
+        best.append(top)
+        cut.append(at)
+    words, end = [], len(name)
+    while end:
+        words.append(name[cut[end] : end])
+        end = cut[end]
+    return words[::-1]
+
+
+def _runs(text: Column, kind: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"({kind}+)"), F.lit(1))
+
+
+def url_names(host: Column, path: Column) -> Column:
+    """Names of a url: runs of letters and digits in host labels but the last (``h:``) and in the path (``p:``).
+
+    Path names are lower-cased; those of digits alone are ``p:#``.
+    """
+    labels = F.split(host, r"\.")
+    inner = F.array_join(F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), ".")
+    of_host = F.transform(_runs(inner, r"[\p{L}\p{N}]"), lambda n: F.concat(F.lit("h:"), n))
+    of_path = F.transform(
+        _runs(F.lower(path), r"[\p{L}\p{N}]"), lambda n: F.when(n.rlike("^[0-9]+$"), F.lit("p:#")).otherwise(F.concat(F.lit("p:"), n))
+    )
+    return F.concat(of_host, of_path)
+
+
+def unigrams(pages: DataFrame) -> DataFrame:
+    """``word, n``: the words (runs of letters, of at most ``LONGEST_WORD``) in the titles of all pages, with their counts."""
+    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    words = pages.select(F.explode(_runs(F.lower(title), r"\p{L}")).alias("word")).where(F.length("word") <= LONGEST_WORD)
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = max(1, sum(counts.values()))
-        self.logs = {w: math.log(n / self.total) for w, n in counts.items()}
-        self.memory: dict[str, list[str]] = {}
-
-    def __call__(self, name: str) -> list[str]:
-        if name in self.memory:
-            return self.memory[name]
-        unknown = math.log(10 / self.total)
-        best, cut = [0.0], [0]
-        for end in range(1, len(name) + 1):
-            top, at = -math.inf, end - 1
-            for start in range(max(0, end - LONGEST_WORD), end):
-                w = name[start:end]
-                p = best[start] + self.logs.get(w, unknown - (end - start) * math.log(10))
-                if p > top:
-                    top, at = p, start
-            best.append(top)
-            cut.append(at)
-        words, end = [], len(name)
-        while end:
-            words.append(name[cut[end] : end])
-            end = cut[end]
-        if len(self.memory) > 50_000:
-            self.memory.clear()
-        self.memory[name] = words[::-1]
-        return self.memory[name]
-
-
-def url_words(host: str, path: str, segment: Segmenter) -> list[str]:
-    """Tokens of a url: segmented parts of its host labels but the last, and path parts with digits folded."""
-    labels = host.split(".")
-    tokens = ["h:" + w for label in labels[: max(1, len(labels) - 1)] for part in re.findall(r"[^\W_]+", label) for w in segment(part)]
-    for part in re.findall(r"[^\W_]+", path.lower()):
-        tokens += ["p:#"] if part.isdigit() else ["p:" + w for w in segment(part)]
-    return tokens
-
-
-def unigrams(pages: DataFrame, most_words: int = 50_000) -> dict[str, int]:
-    """Counts of the words in the titles of all pages and between the separators of all hosts: the ``most_words`` most frequent."""
+def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
+    """``name, words`` for each row of ``names(name)``, by :func:`segment`.
+
+    The dictionary ``words(word, n)`` meets the names' substrings in a join, so neither is held anywhere as a whole.
+    """
+    total = words.agg(F.sum("n")).first()[0] or 1
+    length = F.length("name")
+    starts = names.select("name", F.explode(F.sequence(F.lit(1), length)).alias("start"))
+    sizes = F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), length - F.col("start") + 1))
+    parts = starts.select("name", "start", F.explode(sizes).alias("size")).select("name", F.col("name").substr(F.col("start"), F.col("size")).alias("word"))
+    hits = parts.distinct().join(words, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("hits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
         for batch in batches:
-            for title, host in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.update(w for w in re.findall(r"[^\W\d_]+", (title or "").lower()) if len(w) <= LONGEST_WORD)
-                seen.update(w for w in re.findall(r"[^\W\d_]+", host) if len(w) <= 5)
-            if len(seen) > 200_000:
-                yield pa.RecordBatch.from_pydict({"word": list(seen), "n": list(seen.values())})
-                seen.clear()
-        yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+            names, hits = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            split = [segment(name, {h["word"]: h["n"] for h in found or ()}, total) for name, found in zip(names, hits, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(split, pa.list_(pa.string()))], ["name", "words"])
 
-    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
-    words = pages.select(title.alias("title"), split_url(F.col("url"))[0].alias("host")).mapInArrow(run, "word string, n long")
-    top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most_words)
-    return {r["word"]: r["n"] for r in top.collect()}
+    return names.join(hits, "name", "left").select("name", "hits").mapInArrow(run, "name string, words array<string>")
 
 
-def judge_urls(
-    pages: DataFrame,
-    rules: Sequence[tuple[str, str]] = RULES,
-    seed_words: Sequence[str] = SEED_WORDS,
-    most_tokens: int = 50_000,
-) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """``page_id, host, path, rule, verdict, log_odds`` for every row of ``pages``.
 
     ``rule`` is the longest that fits (see :func:`match_rule`), else null, and ``verdict`` is that rule's.
     Other urls are blocked where multinomial naive Bayes finds their words likelier in blocked than in
     allowed urls (``log_odds`` > 0). It learns from all urls that a rule decides, classes weighing the
-    same, add-one smoothed, with ``seed_words`` counted in as blocked; the ``most_tokens`` most frequent
-    tokens enter the model, which bounds what the driver holds and broadcasts, as does the bound of
-    :func:`unigrams`. Urls without any word score zero and are allowed. Null and malformed urls have empty
-    host and path. Every row gives a row; extra columns are ignored; an empty table gives no rows.
+    same, add-one smoothed over the tokens seen in them; a token is a word of a segmented name with ``h:`` or
+    ``p:`` before it. Words not seen there say nothing. Names are segmented by the counts of all titles' words.
+
+    Dictionary, counts and scores are tables that grow with the pages; the driver holds three sums. Urls without
+    any word score zero and are allowed. Null and malformed urls have empty host and path. Names of any length
+    are split whole. Every row gives a row, repeated ones too; a null html has no title; null ids are kept; extra
+    columns are ignored; an empty table gives no rows.
     """
-    counts = unigrams(pages)
-    for w in seed_words:
-        counts[w] = counts.get(w, 0) + SEED_COUNT
-    segment = pages.sparkSession.sparkContext.broadcast(counts)
     host, path = split_url(F.col("url"))
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     parsed = parsed.withColumn("rule", match_rule(F.col("host"), F.col("path"), rules))
     verdicts = {r: v for v, r in rules}
     by_rule = F.coalesce(*[F.when(F.col("rule") == r, F.lit(v)) for r, v in verdicts.items()], F.lit(None).cast("string"))
-    parsed = parsed.withColumn("by_rule", by_rule)
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Segmenter(segment.value)
-        seen: Counter[tuple[str, str]] = Counter()
-        for batch in batches:
-            for h, p, v in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                seen.update((w, v) for w in url_words(h, p, split))
-            if len(seen) > 200_000:
-                yield _counted(seen)
-                seen.clear()
-        yield _counted(seen)
-
-    labelled = parsed.where("by_rule is not null").select("host", "path", "by_rule")
-    tokens = labelled.mapInArrow(learn, "token string, block long, allow long").groupBy("token")
-    tokens = tokens.agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"))
-    top = tokens.orderBy(F.desc(F.col("block") + F.col("allow")), "token").limit(most_tokens).collect()
-    block = Counter({r["token"]: r["block"] for r in top})
-    allow = Counter({r["token"]: r["allow"] for r in top})
-    block.update({"h:" + w: SEED_COUNT for w in seed_words})
-    vocabulary = sorted(set(block) | set(allow))
-    size = len(vocabulary)
-    b, a = sum(block.values()) + size, sum(allow.values()) + size
-    odds = {w: math.log((block[w] + 1) / b) - math.log((allow[w] + 1) / a) for w in vocabulary} if size else {}
-    sent = pages.sparkSession.sparkContext.broadcast(odds)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Segmenter(segment.value)
-        for batch in batches:
-            got = [
-                sum(sent.value.get(w, 0.0) for w in url_words(h, p, split))
-                for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(got, np.float64))], [*batch.schema.names, "log_odds"])
-
-    scored = parsed.mapInArrow(score, "page_id long, host string, path string, rule string, by_rule string, log_odds double")
+    parsed = checkpoint(parsed.withColumn("by_rule", by_rule).withColumn("row", F.monotonically_increasing_id()))
+    held = parsed.select("row", "by_rule", F.explode(url_names(F.col("host"), F.col("path"))).alias("tag"))
+    seen = {v: F.count_if(F.col("by_rule") == v).alias(v) for v in ("block", "allow")}
+    names = checkpoint(held.groupBy("tag").agg(seen["block"], seen["allow"]))
+    plain = names.where("tag <> 'p:#'").select(F.substring("tag", 3, 1 << 30).alias("name")).distinct()
+    split = checkpoint(segmented(plain, checkpoint(unigrams(pages))))
+    kind = F.substring("tag", 1, 2)
+    tokens = names.where("tag <> 'p:#'").join(split, F.substring("tag", 3, 1 << 30) == F.col("name"))
+    tokens = tokens.select("tag", "block", "allow", F.explode("words").alias("word")).withColumn("token", F.concat(kind, "word"))
+    tokens = checkpoint(tokens.drop("word").union(names.where("tag = 'p:#'").select("tag", "block", "allow", F.col("tag").alias("token"))))
+    counts = tokens.groupBy("token").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")).where("block + allow > 0")
+    block, allow, kinds = counts.agg(F.sum("block"), F.sum("allow"), F.count("*")).first()
+    chance = lambda c, n: (F.col(c) + 1) / F.lit(float((n or 0) + max(kinds, 1)))
+    odds = counts.select("token", F.log(chance("block", block) / chance("allow", allow)).alias("odds"))
+    scored = tokens.join(odds, "token").groupBy("tag").agg(F.sum("odds").alias("odds"))
+    scored = checkpoint(scored)
+    if scored.count() <= most_broadcast:
+        scored = F.broadcast(scored)
+    total = held.join(scored, "tag").groupBy("row").agg(F.round(F.sum("odds"), 9).alias("log_odds"))
+    judged = parsed.join(total, "row", "left").withColumn("log_odds", F.coalesce("log_odds", F.lit(0.0)))
     by_method = F.when(F.col("log_odds") > 0, "block").otherwise("allow")
-    return scored.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_method).alias("verdict"), "log_odds")
-
-
-def _counted(seen: Counter) -> pa.RecordBatch:
-    words = sorted({w for w, _ in seen})
-    return pa.RecordBatch.from_pydict(
-        {
-            "token": pa.array(words, pa.string()),
-            "block": pa.array([seen[w, "block"] for w in words], pa.int64()),
-            "allow": pa.array([seen[w, "allow"] for w in words], pa.int64()),
-        }
-    )
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_method).alias("verdict"), "log_odds")
+
+
+#: The columns that SQL can express, for tests: all but the method's verdicts.
+SQL = """
+WITH u AS (
+  SELECT page_id, strpos(coalesce(url, ''), '://') AS at, coalesce(url, '') AS url FROM pages
+), h AS (
+  SELECT page_id,
+         CASE WHEN at = 0 THEN '' ELSE translate(regexp_extract(substr(url, at + 3), '^[^/?#]*', 0),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS host,
+         CASE WHEN at = 0 THEN '' ELSE regexp_extract(substr(url, at + 3), '^[^/?#]*([^?#]*)', 1) END AS path
+  FROM u
+), r AS (
+  SELECT * FROM (VALUES ('com', '/en/', 'com/en/', 'block'), ('example.com', '/en/7', 'example.com/en/7', 'allow'),
+    ('net', '/de/', 'net/de/', 'allow'), ('example.net', '/de/8', 'example.net/de/8', 'block'), ('org', '/es/', 'org/es/', 'block'))
+    AS t(domain, start, rule, verdict)
+)
+SELECT h.page_id, h.host, h.path,
+       (SELECT arg_max(rule, length(rule)) FROM r
+        WHERE (h.host = r.domain OR ends_with(h.host, '.' || r.domain)) AND starts_with(h.path, r.start)) AS rule
+FROM h
+"""

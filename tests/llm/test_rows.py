@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import re
 import zlib
 
 import duckdb
@@ -177,12 +178,51 @@ def test_toxicity_scores_by_the_formula(spark):
 def test_url_filter(spark):
     urls = ["http://WWW.Example.com/en/71", "https://x.com/en/5", "http://example.net/de/80?x", "http://a.net/de/1", "ftp://b.org/es/#f", "no scheme", None, "http://cheap-pills.biz/fr/1", "http://notexample.com/en/7", "x://y/com/en/", "http://com/en/"]
     pages = spark.createDataFrame([(i, u, "<title>cheap pills and win</title>", "e") for i, u in enumerate(urls)], PAGES.replace("html string", "html string"))
-    got = url_filter.judge_urls(pages).toPandas().set_index("page_id")
+    got = url_filter.judge_urls(pages).toPandas().set_index("page_id").sort_index()
     assert got["rule"].fillna("").tolist() == ["example.com/en/7", "com/en/", "example.net/de/8", "net/de/", "org/es/", "", "", "", "com/en/", "", "com/en/"]
     assert got["verdict"].tolist()[:5] == ["allow", "block", "block", "allow", "block"]
     assert (got.loc[0].host, got.loc[0].path) == ("www.example.com", "/en/71") and (got.loc[5].host, got.loc[6].path) == ("", "")
-    assert url_filter.Segmenter({"cheap": 5, "pills": 5, "chea": 1})("cheappills") == ["cheap", "pills"]
+    assert url_filter.segment("cheappills", {"cheap": 5, "pills": 5, "chea": 1}, 11) == ["cheap", "pills"]
     assert url_filter.judge_urls(spark.createDataFrame([], PAGES)).count() == 0
+    _compare(got.reset_index()[["page_id", "host", "path", "rule"]], url_filter.SQL, {"pages": pages.toPandas()})
+
+
+def test_url_filter_against_brute_force(spark):
+    """The whole method over again in plain Python, on one host with a third of all rows, long and odd urls."""
+    rng = np.random.default_rng(4)
+    words = ["cheap", "pills", "good", "news", "star", "art", "start", "ab"]
+    rows = []
+    for i in range(300):
+        host = "www.hot.com" if i % 3 == 0 else "".join(rng.choice(words, 2)) + "." + "".join(rng.choice(words, 1)) + str(rng.choice([".com", ".net", ".org", ".info"]))
+        rows.append((i, f"http://{host}/{rng.choice(['en', 'de', 'es', 'fr'])}/{rng.choice(words)}{rng.choice(words)}/{rng.integers(0, 99)}?q", f"<title>{' '.join(rng.choice(words, 3))} Ünïon {i}</title>", "e"))
+    rows += [rows[0], (None, None, None, None), (7, "http:///", "", ""), (8, "http://a.org/" + "start" * 300, "<title>", "")]
+    pages = spark.createDataFrame(rows, PAGES)
+    titles = collections.Counter(w for *_, h, _ in rows for t in re.findall(r"(?is)<title[^>]*>(.*?)</title>", h or "") for w in re.findall(r"[^\W\d_]+", t.lower()))
+    total = sum(titles.values())
+
+    def tokens(host, path):
+        labels = host.split(".")
+        inner = ".".join(labels[: max(1, len(labels) - 1)])
+        out = ["h:" + w for n in re.findall(r"[^\W_]+", inner) for w in url_filter.segment(n, titles, total)]
+        for n in re.findall(r"[^\W_]+", path.lower()):
+            out += ["p:#"] if n.isdigit() else ["p:" + w for w in url_filter.segment(n, titles, total)]
+        return out
+
+    for most in (0, 1000):
+        got = url_filter.judge_urls(pages, most_broadcast=most).toPandas()
+        assert len(got) == len(rows)
+        ruled = {r: v for v, r in url_filter.RULES}
+        count = {v: collections.Counter() for v in ("block", "allow")}
+        for h, p, r in zip(got.host, got.path, got.rule, strict=True):
+            if isinstance(r, str):
+                count[ruled[r]].update(tokens(h, p))
+        kinds = len(set(count["block"]) | set(count["allow"]))
+        size = {v: sum(c.values()) + kinds for v, c in count.items()}
+        for h, p, r, v, o in zip(got.host, got.path, got.rule, got.verdict, got.log_odds, strict=True):
+            want = sum(math.log((count["block"][t] + 1) / size["block"] * size["allow"] / (count["allow"][t] + 1)) for t in tokens(h, p) if count["block"][t] + count["allow"][t])
+            assert abs(want - o) < 1e-6
+            assert v == (ruled[r] if isinstance(r, str) else "block" if round(want, 9) > 0 else "allow")
+    assert set(got.verdict[got.rule.isna()]) == {"block", "allow"}
 
 
 def test_pipeline_stages(spark, tmp_path):
