@@ -162,12 +162,12 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, most_
 #: The columns that SQL can express, for tests: all but the method's verdicts.
 SQL = """
 WITH u AS (
-  SELECT page_id, strpos(coalesce(url, ''), '://') AS at, coalesce(url, '') AS url FROM pages
+  SELECT page_id, strpos(coalesce(url, ''), '://') AS pos, coalesce(url, '') AS url FROM pages
 ), h AS (
   SELECT page_id,
-         CASE WHEN at = 0 THEN '' ELSE translate(regexp_extract(substr(url, at + 3), '^[^/?#]*', 0),
+         CASE WHEN pos = 0 THEN '' ELSE translate(regexp_extract(substr(url, pos + 3), '^[^/?#]*', 0),
               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS host,
-         CASE WHEN at = 0 THEN '' ELSE regexp_extract(substr(url, at + 3), '^[^/?#]*([^?#]*)', 1) END AS path
+         CASE WHEN pos = 0 THEN '' ELSE regexp_extract(substr(url, pos + 3), '^[^/?#]*([^?#]*)', 1) END AS path
   FROM u
 ), r AS (
   SELECT * FROM (VALUES ('com', '/en/', 'com/en/', 'block'), ('example.com', '/en/7', 'example.com/en/7', 'allow'),
