@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +19,8 @@ from .common import checkpoint, compressed, keyed_documents
 LEAD = 80
 #: Bytes of short texts that are hashed together.
 BATCH_BYTES = 1 << 16
-#: Bins in which windows at bucket boundaries meet, and neighbouring windows of a suffix that go to one bin.
-BINS = 256
+#: Bytes of text for each bucket of suffixes, at most about; neighbouring windows of a suffix that go to one bin.
+BUCKET_BYTES = 64 << 20
 TOGETHER = 16
 _TOP = np.uint64(2**64 - 1)
 _BASE = 0x9E3779B97F4A7C15
@@ -75,7 +77,11 @@ class Sampler:
         text = np.searchsorted(ends, at, side="right")
         begin = ends[text] - size[text]
         left, right = np.minimum(self.length - LEAD, at - begin), np.minimum(self.length, ends[text] - at)
-        context = (sums[at + right] - sums[at - left]) * self.down[at - left]
+        # another hash than that of the leading bytes, so that the two do not fail together
+        digest = xxhash.xxh3_64_intdigest
+        whole = b.tobytes()
+        spans = zip((at - left).tolist(), (at + right).tolist(), strict=True)
+        context = np.fromiter((digest(whole[i:j]) for i, j in spans), np.uint64, len(at))
         context = _mix(context ^ (left * 1021 + right).astype(np.uint64) * np.uint64(_BASE))
         return text, at - begin, h[at], context
 
@@ -219,13 +225,16 @@ def find_repeats(keyed: DataFrame, length: int) -> DataFrame:
         yield pa.RecordBatch.from_pydict({"k1": k1[keep], "at": at[keep], "full": full[keep], "compare": compare[keep]})
 
     suffixes = keyed.mapInArrow(sample, "lead long, context long, k1 long, at long")
-    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # as many buckets as the bytes need, so that a task's share does not grow with the corpus
+    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES))
+    bins = 16 * parts
     marked = suffixes.repartitionByRange(parts, "lead", "context", "k1", "at").mapInArrow(
         classify, "k1 long, at long, full boolean, compare boolean"
     )
     marked = checkpoint(marked)
     pos, k2 = F.col("at").bitwiseAND(F.lit(2**32 - 1)), F.shiftright("at", 32)
-    wanted = marked.where("compare").groupBy("k1", k2.alias("k2")).agg(F.collect_list(pos).alias("at"))
+    wanted = marked.where("compare").groupBy("k1", k2.alias("k2")).agg(F.collect_set(pos).alias("at"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -270,7 +279,7 @@ def find_repeats(keyed: DataFrame, length: int) -> DataFrame:
             block = d // TOGETHER * TOGETHER
             _, first, back = np.unique(row * (reach + 1) + block, return_index=True, return_inverse=True)
             cores = [left[row[i]][: block[i]][::-1] + right[row[i]][: length - block[i] - TOGETHER + 1] for i in first]
-            where = np.array([int.from_bytes(hashlib.blake2b(c, digest_size=8).digest(), "little") % BINS for c in cores])[back]
+            where = np.array([int.from_bytes(hashlib.blake2b(c, digest_size=8).digest(), "little") % bins for c in cores])[back]
             for b in np.unique(where).tolist():
                 zero = pa.array([0], pa.int64())
                 blob = pa.array([both[where == b].tobytes()], pa.binary())
@@ -320,7 +329,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False,
     """
     keyed = keyed_documents(docs.select(*dict.fromkeys([*carry, "doc_id", "text"])))
     spans = find_repeats(keyed.select("k1", "k2", "text"), length)
-    by_text = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    # rows repeated as a whole share their keys and bring the same spans again
+    by_text = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     packed = compressed(keyed.select(*carry, "k1", "k2", "text"))
     joined = packed.join(by_text, ["k1", "k2"], "left").select(*carry, "z", "spans.start", "spans.end")
     n = len(carry)
