@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,54 +39,67 @@ def feature_edges(points: DataFrame, vector: str, k: int = 8, weight: float = 1.
     return pairs.groupBy("source", "target").agg((F.sum("s") * F.lit(float(weight))).alias("feature_component"))
 
 
-def spanning_tree(points: DataFrame, vector: str, most_rounds: int = 40) -> DataFrame:
-    """``source, target, distance``: a minimum spanning tree of all points by Boruvka rounds.
-
-    Each round finds every component's nearest outside point by blocks, joins, and halves the components at
-    least. Equal distances are ordered by the pair.
+def _prim(v: np.ndarray, ids: np.ndarray) -> list[tuple[float, int, int]]:
+    """The minimum spanning tree of points, sorted by id: (distance, source, target), equal distances ordered by the pair."""
+    n = len(ids)
+    gap, near = np.full(n, np.inf), np.zeros(n, np.int64)
+    inside = np.zeros(n, bool)
+    tree, now = [], 0
+    for _ in range(n - 1):
+        inside[now] = True
+        d = np.zeros(n)
+        for k in range(v.shape[1]):
+            d += (v[:, k] - v[now, k]) ** 2
+        lo, hi = np.minimum(ids, ids[near]), np.maximum(ids, ids[near])
+        new_lo, new_hi = np.minimum(ids, ids[now]), np.maximum(ids, ids[now])
+        better = (d < gap) | ((d == gap) & ((new_lo < lo) | ((new_lo == lo) & (new_hi < hi))))
+        gap, near = np.where(better, d, gap), np.where(better, now, near)
+        least = np.where(inside, np.inf, gap)
+        tied = np.flatnonzero(least == least.min())
+        lo, hi = np.minimum(ids[tied], ids[near[tied]]), np.maximum(ids[tied], ids[near[tied]])
+        pick = np.lexsort((hi, lo))[0]
+        now = int(tied[pick])
+        tree.append((math.sqrt(gap[now]), int(lo[pick]), int(hi[pick])))
+    return tree
+
+
+def spanning_tree(points: DataFrame, vector: str, most_rounds: int = 40, block_rows: int = 2048) -> DataFrame:
+    """``source, target, distance``: a minimum spanning tree of all points, equal distances ordered by the pair.
+
+    Every edge of it is in the tree of any set of points that holds its ends. Each pair of blocks therefore
+    returns the tree of its points alone; with several blocks Boruvka rounds choose among these edges.
     """
-    import math
-
-    import numpy as np
-    import pyarrow as pa
-
     rows = settle(points.select(F.col("point_index").cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")))
-    n = rows.count()
-    blocks = max(1, math.ceil(n / 2048))
-    labels = settle(rows.select(F.col("id").alias("node"), F.col("id").alias("root")))
-    tree = None
+    blocks = max(1, math.ceil(rows.count() / block_rows))
+    placed = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    # pairs of different blocks; where there are two blocks or more these hold every pair of points
+    others = F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: (o != F.col("b")) | F.lit(blocks == 1))
+    each = placed.withColumn("o", F.explode(others)).select(F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), "id", "v")
 
     def run(table: pa.Table) -> pa.Table:
-        side, ids, root = (table.column(c).to_numpy() for c in ("side", "id", "root"))
-        v = np.array(table.column("v").to_pylist(), float)
-        q, x = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        best: dict[int, tuple] = {}
-        for i in q.tolist() if len(x) else []:
-            out = x[root[x] != root[i]]
-            if not len(out):
-                continue
-            d = np.sqrt(((v[out] - v[i]) ** 2).sum(axis=1))
-            m = d.min()
-            j = out[d == m]
-            pair = min((min(ids[i], t), max(ids[i], t)) for t in ids[j].tolist())
-            got = (float(m), int(pair[0]), int(pair[1]))
-            if int(root[i]) not in best or got < best[int(root[i])]:
-                best[int(root[i])] = got
-        return pa.table({"root": pa.array(list(best), pa.int64()), "distance": pa.array([b[0] for b in best.values()], pa.float64()),
-                         "source": pa.array([b[1] for b in best.values()], pa.int64()), "target": pa.array([b[2] for b in best.values()], pa.int64())})
-
+        table = table.sort_by("id")
+        ids = table.column("id").to_numpy()
+        tree = _prim(table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1), ids) if len(ids) > 1 else []
+        kinds = {"distance": pa.float64(), "source": pa.int64(), "target": pa.int64()}
+        return pa.table({c: pa.array([t[k] for t in tree], kind) for k, (c, kind) in enumerate(kinds.items())})
+
+    edges = settle(each.groupBy("bi", "bj").applyInArrow(run, "distance double, source long, target long").distinct())
+    columns = ["source", "target", "distance"]
+    if blocks < 3:
+        return edges.select(*columns)
+    nodes = rows.select(F.col("id").alias("node"))
+    labels, tree = settle(nodes.withColumn("root", F.col("node"))), None
     for _ in range(most_rounds):
-        if labels.select("root").distinct().limit(2).count() < 2:
-            break
-        placed = rows.join(labels, rows.id == labels.node).select("id", "v", "root", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
-        each = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        asks = each.select(F.col("b").alias("bi"), F.col("o").alias("bj"), F.lit(0).alias("side"), "id", "v", "root")
-        gives = each.select(F.col("o").alias("bi"), F.col("b").alias("bj"), F.lit(1).alias("side"), "id", "v", "root")
-        met = asks.union(gives).groupBy("bi", "bj").applyInArrow(run, "root long, distance double, source long, target long")
-        least = met.groupBy("root").agg(F.min(F.struct("distance", "source", "target")).alias("m")).select("m.*").distinct()
-        tree = settle(least if tree is None else tree.union(least).distinct())
-        labels = components(rows.select(F.col("id").alias("node")), tree.select(F.col("source").alias("src"), F.col("target").alias("dst")))
-    return tree if tree is not None else rows.limit(0).select(F.col("id").alias("source"), F.col("id").alias("target"), F.lit(0.0).alias("distance"))
+        a, b = (labels.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")) for end in ("source", "target"))
+        edges = settle(edges.select("distance", "source", "target").join(a, "source").join(b, "target").where("source_root <> target_root"))
+        if edges.isEmpty():
+            return tree.select(*columns)
+        ends = F.explode(F.array("source_root", "target_root")).alias("root")
+        least = edges.select(ends, F.struct("distance", "source", "target").alias("m")).groupBy("root").agg(F.min("m").alias("m"))
+        least = least.select("m.*").distinct()
+        tree = settle(least if tree is None else tree.union(least))
+        labels = components(nodes, tree.select(F.col("source").alias("src"), F.col("target").alias("dst")))
+    raise RuntimeError(f"the tree is not whole after {most_rounds} rounds")
 
 
 def node_weights(nodes: DataFrame, column: str = "probability") -> DataFrame:

@@ -2,54 +2,127 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Edges that a task contracts at once.
+MOST_EDGES = 1_000_000
 
-def settle(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in the checkpoint folder and cuts its lineage."""
-    spark = df.sparkSession
+
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the checkpoint folder, which every executor can reach; removed when the driver ends.
+
+    Only a local session without ``spark.checkpoint.dir`` gets a temporary folder of its own.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="contourflow-"))
-    return df.checkpoint(eager=True)
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/round-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        if sc._jsc is not None:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+    atexit.register(remove)
+    return path
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Materialises ``df`` below the checkpoint folder and cuts its lineage.
+
+    It is written and read back rather than checkpointed: a checkpointed frame carries its size estimate along,
+    and where a round joins a frame with itself that estimate's digits double in every round.
+    """
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def until_stable(start: DataFrame, step: Callable[[DataFrame], DataFrame], signature: Callable[[DataFrame], tuple], most: int) -> DataFrame:
-    """Repeats ``step`` until the signature stays, at most ``most`` times."""
+    """Repeats ``step`` until the signature stays; an error if that takes over ``most`` rounds."""
     now = settle(start)
     sign = signature(now)
     for _ in range(most):
         now = settle(step(now))
         new = signature(now)
         if new == sign:
-            break
+            return now
         sign = new
-    return now
+    raise RuntimeError(f"no stable state in {most} rounds")
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges (node, smallest node of its component) that connect what the pairs ``a[i], b[i]`` connect."""
+    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = flat[: len(a)], flat[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        before = label.copy()
+        np.minimum.at(label, label[x], low)
+        np.minimum.at(label, label[y], low)
+        label = label[label]
+        if (label == before).all() and (label[x] == label[y]).all():
+            break
+    keep = label != np.arange(len(nodes))
+    return nodes[keep], nodes[label[keep]]
 
 
-def components(nodes: DataFrame, edges: DataFrame, most: int = 200) -> DataFrame:
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges as stars, a bounded number at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def close() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        src, dst = forest(table["src"].to_numpy(), table["dst"].to_numpy())
+        held.clear()
+        return pa.RecordBatch.from_pydict({"src": src, "dst": dst})
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) > MOST_EDGES:
+            yield close()
+    if held:
+        yield close()
+
+
+def components(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
     """``node, root``: the smallest node of each node's component, singletons included.
 
-    ``nodes(node)``; ``edges(src, dst)`` in either direction or both. Labels fall by neighbour minima and then
-    jump to their label's label, so the rounds grow with the logarithm of a component's diameter.
+    ``nodes(node)``; ``edges(src, dst)`` in either direction or both, all longs. Tasks first turn their edges into
+    stars. Then each round hangs every node's larger neighbours on its smallest one (large star) and a node's
+    smaller neighbours on the smallest of them (small star) until only stars are left; a round is two partially
+    aggregated minima and two equi-joins, so a hub is split by the skew join.
     """
-    both = settle(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
+    plain = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src <> dst")
+    stars = plain.mapInArrow(_contracted, "src long, dst long")
+
+    def downwards(e: DataFrame) -> DataFrame:
+        return e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
 
-    def step(labels: DataFrame) -> DataFrame:
-        near = both.join(labels, both.dst == labels.node).groupBy("src").agg(F.min("root").alias("m"))
-        low = labels.join(near, labels.node == near.src, "left").select("node", F.least("root", F.coalesce("m", "root")).alias("root"))
-        up = low.select(F.col("node").alias("r"), F.col("root").alias("up"))
-        return low.join(up, low.root == up.r).select("node", F.least("root", "up").alias("root"))
+    def step(e: DataFrame) -> DataFrame:
+        both = e.union(e.select("b", "a"))
+        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        hop = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        return downwards(hop.select(F.col("b").alias("a"), F.col("m").alias("b")).union(hop.select("a", F.col("m").alias("b"))))
 
-    def signature(labels: DataFrame) -> tuple:
-        return tuple(labels.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first())
+    def signature(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
 
-    return until_stable(nodes.select("node", F.col("node").alias("root")), step, signature, most)
+    done = until_stable(downwards(stars.toDF("a", "b")), step, signature, most)
+    return nodes.select("node").join(done, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("root"))
 
 
 def dense_numbers(labels: DataFrame) -> DataFrame:
