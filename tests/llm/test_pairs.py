@@ -259,3 +259,43 @@ def test_short_paragraphs_are_compared(spark):
     want = removed_by_brute_force(rows)
     assert set(want) == {1, 2, 3, 4, 6} and {d: n for d, n in got["n_removed"].items() if n} == want
     assert got["n_paragraphs"].to_dict() == {0: 5, 1: 3, 2: 3, 3: 1, 4: 1, 5: 0, 6: 2}
+
+
+def test_one_passage_in_all_documents(spark):
+    """Its runs are dealt over several ranges; only the first document keeps it."""
+    rng = np.random.default_rng(12)
+    some = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 7)) for _ in range(n))
+    passage = some(70)
+    rows = [(i, f"{some(30)} {passage} {some(30)}") for i in range(400, 0, -1)]
+    got = paragraph_dedup.paragraph_duplicates(docs(spark, rows), passage=50).toPandas().set_index("doc_id")
+    assert (got.n_linked == 1).all() and got.n_removed[1] == 0
+    assert (got.n_removed.drop(1) == len(passage)).all() and (got.n_spans.drop(1) == 1).all()
+
+
+def test_paragraph_recall_at_the_query_s_settings(spark):
+    """Of 400 pairs just above the threshold nearly all are linked; pairs just below it never are."""
+    rng = np.random.default_rng(21)
+    some = lambda n: ["".join(rng.choice(list("abcdefgh"), 7)) for _ in range(n)]
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, wanted, unwanted = [], 0, 0
+    for i in range(440):
+        a = some(200)
+        b = list(a)
+        for k in rng.choice(np.arange(8, 192, 12), 4 if i < 400 else 6, replace=False):
+            b[k] = some(1)[0]
+        j = len(sets(a) & sets(b)) / len(sets(a) | sets(b))
+        assert (0.8 <= j < 0.83) == (i < 400)
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    got = paragraph_dedup.paragraph_duplicates(docs(spark, rows), threshold=0.8, shingle=5).toPandas().set_index("doc_id")
+    linked = got.n_linked.sort_index().to_numpy()
+    assert linked[:800].mean() >= 0.98 and (linked[800:] == 0).all()
+
+
+def test_one_row_repeated_very_often(spark):
+    """Ten thousand copies of one row bring their spans once; all of their text repeats."""
+    text = " ".join(str(i * 7919 % 10007) for i in range(120))
+    rows = [(1, text)] * 10_000 + [(2, text[100:400] + "!"), (3, None), (4, "")]
+    got = suffix_dedup.remove_repeats(docs(spark, rows), length=200)
+    n = len(text)
+    assert got.where(f"doc_id = 1 and n_bytes = {n} and n_removed = {n} and n_spans = 1").count() == 10_000
+    assert got.where("doc_id = 2").first()["n_removed"] == 300 and got.where("doc_id > 2 and n_removed = 0 and n_bytes = 0").count() == 2
