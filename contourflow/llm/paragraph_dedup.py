@@ -19,8 +19,8 @@ from .common import components, compressed, forest, keyed_documents, stored
 CHUNK = 1 << 17
 #: Members of a bucket that are compared in one task; larger buckets are compared tile by tile.
 TILE = 2048
-#: Kinds of rows that a range of sorted runs returns.
-GONE, SEEN, OPEN, HEAD = range(4)
+#: Repeated runs that are broadcast; beyond, they meet their places in a join.
+MOST_BROADCAST = 200_000
 _ODD = np.random.default_rng(5).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -352,75 +352,38 @@ def paragraph_duplicates(
                         )
 
         schema = "seed long, run long, doc_id long, k1 long, k2 long, start long, s long, e long"
-        names = [c.split()[0] for c in schema.split(", ")]
         # a left join on the same table as the last one's, so that the texts are dealt once for both
         found = packed.join(asked, ["k1", "k2"], "left").select("z", "doc_id", "k1", "k2", "at").mapInArrow(runs, schema)
         found = stored(found, "runs")
-        order = ["seed", "run", F.asc_nulls_last("doc_id"), "s", "k1", "k2"]
-        dealt = found.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-
-        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """What is ``GONE`` and ``SEEN`` among sorted runs, and of the range's first run, which may have begun
-            in another range, all places ``OPEN``. The first place of the first and last run is a ``HEAD``."""
-            held = np.empty((0, 7), np.int64)  # seed, run, k1, k2, start, s, e of the first place of the last run
-            opening = ending = None
-
-            def out(kind: int, rows: np.ndarray, doc: pa.Array | None = None) -> pa.RecordBatch:
-                arrays = dict(zip(["seed", "run", "k1", "k2", "start", "s", "e"], rows.T.copy(), strict=True))
-                arrays |= {"kind": np.full(len(rows), kind, np.int32), "doc_id": pa.nulls(len(rows), pa.int64()) if doc is None else doc}
-                return pa.RecordBatch.from_pydict({c: arrays[c] for c in [*names, "kind"]})
+        place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "s", "k1", "k2", "start", "e")
+        heads = found.groupBy("seed", "run").agg(F.min(place).alias("h"), F.count("*").alias("n")).where("n > 1").select("seed", "run", "h")
+        heads = stored(heads, "heads")
+        if heads.count() <= MOST_BROADCAST:
+            heads = F.broadcast(heads)
+        met = found.join(heads, ["seed", "run"])
+        home = (F.col("k1") == F.col("h.k1")) & (F.col("k2") == F.col("h.k2"))
+        later = met.where(~(home & (F.col("s") == F.col("h.s"))))
+        stays = (home & (F.col("s") < F.col("h.e"))).alias("stays")
 
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Neighbouring runs as one, and every place once with ``s`` -1."""
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                v = np.column_stack([batch.column(names.index(c)).to_numpy() for c in ("seed", "run", "k1", "k2", "start", "s", "e")])
-                doc = batch.column(names.index("doc_id"))
-                if opening is None:
-                    opening = v[0]
-                    yield out(HEAD, v[:1], doc[:1])
-                is_open = (v[:, :2] == opening[:2]).all(axis=1)
-                if is_open.any():
-                    yield out(OPEN, v[is_open])
-                last = int(np.flatnonzero((v[:, :2] == v[-1, :2]).all(axis=1))[0])
-                if ending is None or (v[-1, :2] != ending[0][0, :2]).any():
-                    ending = v[last : last + 1], doc[last : last + 1]
-                v = np.concatenate([held, v[~is_open]])
-                if not len(v):
-                    continue
-                new = np.r_[True, (v[1:, :2] != v[:-1, :2]).any(axis=1)]
-                first = np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))
-                home = (v[:, 2:4] == v[first, 2:4]).all(axis=1)
-                other = ~(home & (v[:, 5] == v[first, 5]))
-                gone = v[other & ~(home & (v[:, 5] < v[first, 6]))]
-                held = v[first[-1:]]
-                if len(gone):  # neighbouring runs become one
-                    gone = gone[np.lexsort(gone[:, :1:-1].T)]
-                    cut = np.r_[True, (gone[1:, 2:5] != gone[:-1, 2:5]).any(axis=1) | (gone[1:, 5] > gone[:-1, 6])]
-                    ends = gone[np.r_[cut[1:], True], 6]
-                    yield out(GONE, np.column_stack([gone[cut, :6], ends]))
-                places = v[np.union1d(np.flatnonzero(other), first[other])]
-                if len(places):
-                    yield out(SEEN, places[np.unique(places[:, 2:5], axis=0, return_index=True)[1]])
-            if ending is not None:
-                yield out(HEAD, *ending)
-
-        marked = stored(dealt.mapInArrow(mark, schema + ", kind int"), "marks")
-        # two heads a range: they tell the others where their run began
-        heads = marked.where(F.col("kind") == HEAD).select(
-            "seed", "run", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "s", "k1", "k2", "start", "e").alias("h")
-        )
-        heads = heads.groupBy("seed", "run").agg(F.min("h").alias("h"))
-        later = marked.where(F.col("kind") == OPEN).join(F.broadcast(heads), ["seed", "run"])
-        home = (F.col("k1") == F.col("h.k1")) & (F.col("k2") == F.col("h.k2"))
-        later = later.where(~(home & (F.col("s") == F.col("h.s"))))
-        span = F.struct(F.col("s").alias("start"), F.col("e").alias("end"))
-        none = F.lit(None).cast("struct<start: bigint, end: bigint>")
-        return (
-            marked.where(F.col("kind") == GONE).select("k1", "k2", "start", span.alias("gone"))
-            .union(marked.where(F.col("kind") == SEEN).select("k1", "k2", "start", none))
-            .union(later.select("k1", "k2", "start", F.when(~(home & (F.col("s") < F.col("h.e"))), span)))
-            .union(later.select("h.k1", "h.k2", "h.start", none).distinct())
-        )
+                v = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(9)])
+                gone = v[v[:, 5] == 0, :5]
+                if len(gone):
+                    gone = gone[np.lexsort(gone.T[::-1])]
+                    cut = np.r_[True, (gone[1:, :3] != gone[:-1, :3]).any(axis=1) | (gone[1:, 3] > gone[:-1, 4])]
+                    gone = np.column_stack([gone[cut, :4], gone[np.r_[cut[1:], True], 4]])
+                seen = np.unique(np.concatenate([v[:, :3], v[:, 6:9]]), axis=0)
+                both = np.concatenate([gone, np.column_stack([seen, np.full((len(seen), 2), -1)])])
+                yield pa.RecordBatch.from_pydict(dict(zip(("k1", "k2", "start", "s", "e"), both.T.copy(), strict=True)))
+
+        merged = later.select("k1", "k2", "start", "s", "e", stays, F.col("h.k1").alias("a"), F.col("h.k2").alias("b"), F.col("h.start").alias("c"))
+        merged = merged.mapInArrow(merge, "k1 long, k2 long, start long, s long, e long")
+        gone = F.when(F.col("s") >= 0, F.struct(F.col("s").alias("start"), F.col("e").alias("end")))
+        return merged.select("k1", "k2", "start", gone.alias("gone"))
 
     roots = components(links)
     labelled = pieces_of.join(roots, pieces_of.uid == roots.node, "left").select(

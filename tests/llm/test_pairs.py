@@ -261,8 +261,10 @@ def test_short_paragraphs_are_compared(spark):
     assert got["n_paragraphs"].to_dict() == {0: 5, 1: 3, 2: 3, 3: 1, 4: 1, 5: 0, 6: 2}
 
 
-def test_one_passage_in_all_documents(spark):
-    """Its runs are dealt over several ranges; only the first document keeps it."""
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_one_passage_in_all_documents(spark, monkeypatch, most):
+    """Whichever way its runs meet their first places, only the first document keeps it."""
+    monkeypatch.setattr(paragraph_dedup, "MOST_BROADCAST", most)
     rng = np.random.default_rng(12)
     some = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 7)) for _ in range(n))
     passage = some(70)
