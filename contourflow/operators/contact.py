@@ -91,34 +91,57 @@ def patch_edges(
     return both.where(good).select(F.col("point_index").alias("src"), F.col("neighbour").alias("dst"))
 
 
+class _Spread:
+    """Weighted sums of squares about the mean of any stretch of sorted values, from running totals."""
+
+    def __init__(self, values: np.ndarray, weights: np.ndarray):
+        mass = np.vstack([weights, weights * values, weights * values**2])
+        self.run = np.pad(np.cumsum(mass, axis=1), ((0, 0), (1, 0)))
+
+    def __call__(self, begin: np.ndarray, end: int) -> np.ndarray:
+        mass, first, second = self.run[:, end, None] - self.run[:, begin]
+        mean = np.divide(first, mass, out=np.zeros_like(first), where=mass > 0)
+        return np.clip(second - mean * first, 0, None)
+
+
+def _next_layer(spread: _Spread, price: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prices with one more cluster for each end 0..n, and where that cluster begins.
+
+    The best beginning does not fall as the end rises, so the end in the middle halves the beginnings that the
+    ends on either side have to try.
+    """
+    new, begin = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
+    todo = [(1, n, 0, n - 1)]
+    while todo:
+        low, high, left, right = todo.pop()
+        if low > high:
+            continue
+        end = (low + high) // 2
+        tries = np.arange(left, min(right, end - 1) + 1)
+        total = price[tries] + spread(tries, end)
+        at = int(total.argmin())
+        new[end], begin[end] = total[at], tries[at]
+        todo += [(low, end - 1, left, tries[at]), (end + 1, high, tries[at], right)]
+    return new, begin
+
+
 def kmeans_1d(values: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """Labels of the weighted k-means optimum on a line, by dynamic programming over prefix sums; clusters in rising order."""
+    """Labels of the weighted k-means optimum on a line, clusters in rising order: O(k n log n) by monotone cuts."""
     order = np.argsort(values, kind="stable")
-    v, w = values[order], weights[order].astype(float)
-    n = len(v)
-    k = max(1, min(k, n))
-    s0, s1, s2 = (np.concatenate([[0.0], np.cumsum(x)]) for x in (w, w * v, w * v * v))
-
-    def cost(i: np.ndarray, j: int) -> np.ndarray:
-        m = s0[j] - s0[i]
-        return np.maximum(0.0, s2[j] - s2[i] - np.where(m > 0, (s1[j] - s1[i]) ** 2 / np.where(m > 0, m, 1), 0))
-
-    best = np.full((k + 1, n + 1), np.inf)
-    cut = np.zeros((k + 1, n + 1), np.int64)
-    best[0, 0] = 0
-    for c in range(1, k + 1):
-        for j in range(c, n + 1):
-            i = np.arange(c - 1, j)
-            total = best[c - 1, i] + cost(i, j)
-            cut[c, j] = i[total.argmin()]
-            best[c, j] = total.min()
-    labels, j = np.empty(n, np.int64), n
-    for c in range(k, 0, -1):
-        labels[cut[c, j] : j] = c - 1
-        j = cut[c, j]
-    out = np.empty(n, np.int64)
-    out[order] = labels
-    return out
+    n = len(order)
+    spread = _Spread(values[order].astype(float), weights[order].astype(float))
+    price = np.where(np.arange(n + 1) == 0, 0.0, np.inf)
+    begins = []
+    for _ in range(max(1, min(k, n))):
+        price, begin = _next_layer(spread, price, n)
+        begins.append(begin)
+    bounds = [n]
+    for begin in reversed(begins):
+        bounds.append(int(begin[bounds[-1]]))
+    bounds.reverse()
+    labels = np.empty(n, np.int64)
+    labels[order] = np.repeat(np.arange(len(begins)), np.diff(bounds))
+    return labels
 
 
 def layer_labels(values: np.ndarray, weights: np.ndarray, n_layers: int | str = "auto") -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,23 +11,51 @@ from pyspark.sql import functions as F
 BOHR = 0.529177210903
 RYDBERG_EV = 13.605693122994
 
-# Fixed formats of the output text.
-NUMBER = r"([-\d.Ee+]+)"
-PATTERNS = {
-    "iteration": r"(?i)^\s*iteration\s*#\s*(\d+)\b",
-    "energy": r"(?i)^\s*total energy\s*=\s*([-\d.]+)\s*Ry\b",
-    "accuracy": rf"(?i)^\s*estimated scf accuracy\s*<\s*{NUMBER}\s*Ry\b",
-    "converged_energy": r"(?i)!\s+total energy\s*=\s*([-\d.]+)\s*Ry\b",
-    "total_force": rf"(?i)total force\s*=\s*{NUMBER}",
-    "alat": rf"(?i)lattice parameter\s*\(alat\)\s*=\s*{NUMBER}\s*a\.u\.",
-    "celldm": rf"(?i)celldm\s*\(\s*1\s*\)\s*=\s*{NUMBER}",
+# The words that begin an output line, the place of its value among the words, and the unit after it.
+VALUES = {
+    "iteration": ("iteration", 2, ""),
+    "energy": ("total energy", 3, "ry"),
+    "accuracy": ("estimated scf accuracy", 4, "ry"),
+    "converged_energy": ("! total energy", 4, "ry"),
+    "total_force": ("total force", 3, ""),
+    "alat": ("lattice parameter alat", 4, "a.u."),
+    "celldm": ("celldm 1", 3, ""),
 }
-POSITIONS = r"(?i)^\s*ATOMIC_POSITIONS(?:\s*[\(\{]?\s*([A-Za-z_]+)\s*[\)\}]?)?"
-CELL = r"(?i)^\s*CELL_PARAMETERS"
-ATOM = rf"^\s*([A-Za-z]+)\s+{NUMBER}\s+{NUMBER}\s+{NUMBER}"
-FORCES = r"(?i)^\s*forces acting on atoms"
-FORCE = rf"(?i)^\s*atom\s+\d+\s+type\s+\d+\s+force\s*=\s*{NUMBER}\s+{NUMBER}\s+{NUMBER}"
-DONE = r"(?i)(bfgs converged|end of bfgs geometry optimization|optimization achieved convergence)"
+POSITIONS, CELL, FORCES = "atomic_positions", "cell_parameters", "forces acting on atoms"
+DONE = ("bfgs converged", "end of bfgs geometry optimization", "optimization achieved convergence")
+#: What separates words besides white space.
+MARKS = "=<(){}#:,"
+
+
+def words(line: Column | str = "line") -> Column:
+    """The words of a line in lower case, marks between them left out."""
+    line = F.col(line) if isinstance(line, str) else line
+    return F.split(F.trim(F.translate(F.translate(F.lower(line), MARKS, " " * len(MARKS)), "\t", " ")), " +")
+
+
+def begins(parts: Column, phrase: str) -> Column:
+    want = phrase.split()
+    return F.slice(parts, 1, len(want)) == F.array(*[F.lit(w) for w in want])
+
+
+def numeric(parts: Column, place: int) -> Column:
+    """The word at a place, from one, as a number; null if it is none."""
+    return F.get(parts, F.lit(place - 1)).try_cast("double")
+
+
+def known_value(parts: Column, name: str) -> Column:
+    """The value called ``name`` (see ``VALUES``) if the line holds it."""
+    phrase, place, unit = VALUES[name]
+    here = begins(parts, phrase)
+    if unit:
+        here = here & (F.get(parts, F.lit(place)) == unit)
+    return F.when(here, numeric(parts, place))
+
+
+def is_atom(parts: Column) -> Column:
+    """A symbol of letters and three numbers."""
+    whole = numeric(parts, 2).isNotNull() & numeric(parts, 3).isNotNull() & numeric(parts, 4).isNotNull()
+    return F.get(parts, F.lit(0)).rlike("^[a-z]+$") & whole
 
 
 def lines(files: DataFrame, text: str = "content", key: str = "job") -> DataFrame:
@@ -34,14 +63,10 @@ def lines(files: DataFrame, text: str = "content", key: str = "job") -> DataFram
     return files.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\r?\n")).alias("line_no", "line"))
 
 
-def number(pattern: str, group: int = 1, line: str = "line") -> Column:
-    found = F.regexp_extract(line, pattern, group)
-    return F.when(found != "", found.try_cast("double"))
-
-
 def marked(rows: DataFrame, key: str = "job") -> DataFrame:
-    """Lines with every pattern's value, and ``block``: how many iteration headers stand up to the line."""
-    out = rows.withColumns({name: number(p) for name, p in PATTERNS.items()})
+    """Lines with ``w``, their words, every known value, and ``block``: how many iteration headers stand up to the line."""
+    out = rows.withColumn("w", words())
+    out = out.withColumns({name: known_value(F.col("w"), name) for name in VALUES})
     run = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     return out.withColumn("block", F.count("iteration").over(run))
 
@@ -74,8 +99,8 @@ def summaries(rows: DataFrame, key: str = "job") -> DataFrame:
         F.transform(history, lambda x: x["converged_energy"]).alias("energy_history"),
         F.min_by("total_force", when("total_force")).alias("first_force"),
         F.max_by("total_force", when("total_force")).alias("last_force"),
-        F.count(F.when(F.col("line").rlike(POSITIONS), 1)).alias("ionic_steps"),
-        F.coalesce(F.bool_or(F.col("line").rlike(DONE)), F.lit(False)).alias("relax_converged"),
+        F.count_if(begins(F.col("w"), POSITIONS)).alias("ionic_steps"),
+        F.coalesce(F.bool_or(functools.reduce(lambda a, b: a | b, [F.lower("line").contains(d) for d in DONE])), F.lit(False)).alias("relax_converged"),
         F.max_by("alat", when("alat")).alias("alat_bohr"),
     )
 
@@ -85,30 +110,56 @@ def position_blocks(rows: DataFrame, key: str = "job") -> DataFrame:
 
     A running count of headers carries the block; the first line of a block that is no atom ends it.
     """
-    head = F.col("line").rlike(POSITIONS)
+    head = begins(F.col("w"), POSITIONS)
     run = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    part = rows.select(key, "line_no", "line", F.count(F.when(head, 1)).over(run).alias("b"), head.alias("head"))
+    part = rows.select(key, "line_no", "line", "w", F.count_if(head).over(run).alias("b"), head.alias("head"))
     inside = Window.partitionBy(key, "b").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    part = part.where("b > 0").withColumn("broken", F.count(F.when(~F.col("head") & ~F.col("line").rlike(ATOM), 1)).over(inside))
-    atom = F.struct("line_no", F.regexp_extract("line", ATOM, 1).alias("symbol"), *[number(ATOM, k + 2).alias(c) for k, c in enumerate("xyz")])
-    unit = F.max(F.when(F.col("head"), F.lower(F.regexp_extract("line", POSITIONS, 1))))
+    part = part.where("b > 0").withColumn("broken", F.count_if(~F.col("head") & ~F.coalesce(is_atom(F.col("w")), F.lit(False))).over(inside))
+    symbol = F.get(F.split(F.trim("line"), "\\s+"), F.lit(0)).alias("symbol")
+    atom = F.struct("line_no", symbol, *[numeric(F.col("w"), k + 2).alias(c) for k, c in enumerate("xyz")])
+    unit = F.max(F.when(F.col("head"), F.get(F.col("w"), F.lit(1))))
     return part.where("broken = 0").groupBy(key, F.col("b").alias("block")).agg(
-        F.when(unit == "", "alat").otherwise(unit).alias("unit"), F.min("line_no").alias("line_no"),
+        F.coalesce(unit, F.lit("alat")).alias("unit"), F.min("line_no").alias("line_no"),
         F.array_sort(F.collect_list(F.when(~F.col("head"), atom))).alias("atoms"),
     )
 
 
+def cells(rows: DataFrame, key: str = "job") -> DataFrame:
+    """``job, cell``: the three vectors below the job's last cell header, in angstrom; other units give nulls."""
+    head = begins(F.col("w"), CELL)
+    run = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    part = rows.select(key, "line_no", "w", "alat", F.max(F.when(head, F.col("line_no"))).over(run).alias("at"))
+    part = part.where((F.col("line_no") - F.col("at")).between(0, 3))
+    vector = F.when(F.col("line_no") > F.col("at"), F.struct("line_no", F.array(*[numeric(F.col("w"), k) for k in (1, 2, 3)]).alias("v")))
+    unit = F.max(F.when(F.col("line_no") == F.col("at"), F.coalesce(F.get(F.col("w"), F.lit(1)), F.lit("alat"))))
+    each = part.groupBy(key, "at").agg(unit.alias("unit"), F.array_sort(F.collect_list(vector)).alias("vs"))
+    last = each.groupBy(key).agg(F.max_by(F.struct("unit", "vs"), "at").alias("m"))
+    alat = rows.groupBy(key).agg((F.coalesce(F.max("alat"), F.max("celldm")) * BOHR).alias("alat"))
+    scaled = lambda v: F.transform(v["v"], lambda c: in_angstrom(c, F.col("m.unit"), F.col("alat")))
+    return last.join(alat, key).select(key, F.transform("m.vs", scaled).alias("cell"))
+
+
 def in_angstrom(value: Column, unit: Column, alat: Column) -> Column:
     """A Cartesian coordinate in angstrom; null for other units."""
     return F.when(unit == "angstrom", value).when(unit == "bohr", value * BOHR).when(unit == "alat", value * alat)
 
 
-def last_atom_history(rows: DataFrame, key: str = "job") -> DataFrame:
-    """``job, block, x, y, z`` of the last atom of each positions block, in angstrom."""
-    alat = rows.groupBy(key).agg((F.max("alat") * BOHR).alias("alat"))
-    blocks = position_blocks(rows, key).where(F.size("atoms") > 0).join(alat, key, "left")
-    atom = F.element_at("atoms", -1)
-    return blocks.select(key, "block", "line_no", *[in_angstrom(atom[c], F.col("unit"), F.col("alat")).alias(c) for c in "xyz"])
+def last_atom_history(rows: DataFrame, key: str = "job", label: str | None = None) -> DataFrame:
+    """``job, block, x, y, z`` of one atom of each positions block, in angstrom: the last, or the last called ``label``.
+
+    Crystal coordinates are multiplied by the job's cell; without a cell they give nulls. Blocks without such an
+    atom are left out. Input decks go through the same lines.
+    """
+    alat = rows.groupBy(key).agg((F.coalesce(F.max("alat"), F.max("celldm")) * BOHR).alias("alat"))
+    named = F.col("atoms") if label is None else F.filter("atoms", lambda a: F.lower(a["symbol"]) == label.lower())
+    blocks = position_blocks(rows, key).withColumn("atom", F.try_element_at(named, F.lit(-1))).where("atom is not null")
+    blocks = blocks.join(alat, key, "left").join(cells(rows, key), key, "left")
+
+    def coordinate(k: int, c: str) -> Column:
+        from_cell = sum((F.col(f"atom.{a}") * F.get(F.get(F.col("cell"), F.lit(i)), F.lit(k)) for i, a in enumerate("xyz")), F.lit(0.0))
+        return F.when(F.col("unit") == "crystal", from_cell).otherwise(in_angstrom(F.col(f"atom.{c}"), F.col("unit"), F.col("alat"))).alias(c)
+
+    return blocks.select(key, "block", "line_no", *[coordinate(k, c) for k, c in enumerate("xyz")])
 
 
 def energies_with_geometry(rows: DataFrame, key: str = "job") -> DataFrame:
@@ -124,9 +175,16 @@ def energies_with_geometry(rows: DataFrame, key: str = "job") -> DataFrame:
 def force_blocks(rows: DataFrame, key: str = "job") -> DataFrame:
     """``job, block, forces`` after each forces header."""
     run = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    part = rows.withColumn("b", F.count(F.when(F.col("line").rlike(FORCES), 1)).over(run)).where((F.col("b") > 0) & F.col("line").rlike(FORCE))
-    force = F.struct("line_no", *[number(FORCE, k + 1).alias(c) for k, c in enumerate(("fx", "fy", "fz"))])
-    return part.groupBy(key, F.col("b").alias("block")).agg(F.array_sort(F.collect_list(force)).alias("forces"))
+    part = rows.withColumn("b", F.count_if(begins(F.col("w"), FORCES)).over(run))
+    row = (F.get(F.col("w"), F.lit(0)) == "atom") & (F.get(F.col("w"), F.lit(4)) == "force") & numeric(F.col("w"), 8).isNotNull()
+    force = F.struct("line_no", *[numeric(F.col("w"), k + 6).alias(c) for k, c in enumerate(("fx", "fy", "fz"))])
+    return part.where((F.col("b") > 0) & row).groupBy(key, F.col("b").alias("block")).agg(F.array_sort(F.collect_list(force)).alias("forces"))
+
+
+def attempt_summaries(rows: DataFrame, key: str = "job") -> DataFrame:
+    """Summaries of each attempt's lines ``(job, attempt, line_no, line)``; :func:`pick_attempt` chooses among them."""
+    each = rows.withColumn("_job", F.struct(key, "attempt"))
+    return summaries(marked(each, "_job"), "_job").select("_job.*", "*").drop("_job")
 
 
 def pick_attempt(attempts: DataFrame, key: str = "job") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.outputs import PATTERNS
+from ..sources.outputs import known_value, words
 
 
 def watch_outputs(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,7 +19,8 @@ def watch_outputs(spark: SparkSession, folder: str) -> DataFrame:
 
 def last_energies(stream: DataFrame) -> DataFrame:
     """``job, energy, label_status`` of each text: its last converged energy, or a failure."""
-    found = F.regexp_extract_all("content", F.lit("(?m)" + PATTERNS["converged_energy"]), F.lit(1))
+    every = F.transform(F.split("content", "\n"), lambda line: known_value(words(line), "converged_energy"))
+    found = F.filter(every, lambda e: e.isNotNull())
     energy = F.try_element_at(found, F.lit(-1)).try_cast("double")
     return stream.select("job", energy.alias("energy"), F.when(energy.isNull(), "failed").otherwise("completed").alias("label_status"))
 
