@@ -73,6 +73,12 @@ def word_ratios(counts: DataFrame, samples: int, discount: float = DISCOUNT) ->
     return out
 
 
+def mean_model(a: tuple[dict[bytes, float], float], b: tuple[dict[bytes, float], float]) -> tuple[dict[bytes, float], float]:
+    """The means of two models' log-likelihood ratios."""
+    (one, u), (two, v) = a, b
+    return {w: (one.get(w, u) + two.get(w, v)) / 2 for w in one.keys() | two.keys()}, (u + v) / 2
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50, times: np.ndarray | None = None) -> np.ndarray:
     """Weights (intercept first) of a ridge logistic regression, by Newton steps; row i counts ``times[i]`` times."""
     a = np.column_stack([np.ones(len(x)), x])
@@ -131,7 +137,9 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, docs_per_class: int = 8000
     is then scored in one pass without a shuffle: the toxic and the ordinary model's log-likelihoods are
     compared per word, over the whole text and over its most telling word (one insult in a long text hardly
     moves the former), and a logistic function maps both to (0, 1). It is fitted on halves of the sample, each
-    scored by the other half's model; a sampled row counts in it as many times as its class has labels per
+    scored by the other half's model, and texts are scored by the mean of both halves' ratios: a model of the whole
+    sample knows more rare words, so that its ratios would not be those that were fitted. A
+    sampled row counts in it as many times as its class has labels per
     sampled row, so 0.5 means the same whatever part of each class is sampled.
 
     Empty, blank and null texts have neutral features and get the logistic's value for them. Texts are scored
@@ -151,7 +159,9 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, docs_per_class: int = 8000
     weights = np.zeros(3)
     if model is not None:
         # a half without one of the classes has no model; the other half's examples then go by the whole one
-        halves = spark.sparkContext.broadcast([m or model for m in other])
+        pair = [m or model for m in other]
+        model = mean_model(*pair)
+        halves = spark.sparkContext.broadcast(pair)
 
         def examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
