@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
-#: Absolute discount of a class's own continuation counts.
-DISCOUNT = 5.0
+#: Absolute discounts of a class's own continuation counts; the halves of the sample decide between them.
+DISCOUNTS = (5.0, 2.0)
 #: Bits of a word pair: which of (ordinary, toxic) x (fold 0, fold 1) hold it.
 ORDINARY, TOXIC = (1, 2), (4, 8)
 _FOLDED = bytes(32 if i < 48 or 58 <= i < 65 or 91 <= i < 97 or 123 <= i < 128 else i for i in range(256))
@@ -45,7 +45,7 @@ def word_counts(pairs: DataFrame, samples: list[tuple[int, ...]]) -> DataFrame:
     return pairs.groupBy("word").agg(*columns)
 
 
-def word_ratios(counts: DataFrame, samples: int, discount: float = DISCOUNT) -> list[tuple[dict[bytes, float], float] | None]:
+def word_ratios(counts: DataFrame, samples: int, discount: float = DISCOUNTS[0]) -> list[tuple[dict[bytes, float], float] | None]:
     """For each sample of :func:`word_counts` the log-likelihood ratios (toxic over ordinary) of words under
     Kneser-Ney models, and that of all other words.
 
@@ -128,6 +128,29 @@ def _masked(masks: dict[tuple[bytes, bytes], int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["word", "before", "mask"])
 
 
+def log_loss(weights: np.ndarray, x: np.ndarray, y: np.ndarray, times: np.ndarray) -> float:
+    """Negative log-likelihood of the labels under a logistic's weights; row i counts ``times[i]`` times."""
+    z = weights[0] + x @ weights[1:]
+    return float((times * np.logaddexp(0.0, np.where(y == 1, -z, z))).sum())
+
+
+def _examined(picked: DataFrame, pairs: list[list[tuple[dict[bytes, float], float]]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Labels of ``picked(toxic, fold, text)`` and, for each pair of models, the features by the model of the row's fold."""
+    sent = picked.sparkSession.sparkContext.broadcast(pairs)
+    names = [f"{c}{i}" for i in range(len(pairs)) for c in ("mean", "top")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fold, found = batch.column(1).to_pylist(), map(tokens, batch.column(2).to_pylist())
+            x = [[v for pair in sent.value for v in features(words, *pair[f])] for f, words in zip(fold, found, strict=True)]
+            columns = np.array(x).reshape(-1, len(names)).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], ["y", *names])
+
+    got = picked.mapInArrow(run, "y int" + "".join(f", {n} double" for n in names)).orderBy("y", *names).toArrow()
+    sent.destroy()
+    return got["y"].to_numpy(), [np.column_stack([got[f"{c}{i}"].to_numpy() for c in ("mean", "top")]) for i in range(len(pairs))]
+
+
 def with_toxicity(docs: DataFrame, labels: DataFrame, docs_per_class: int = 8000) -> DataFrame:
     """The rows of ``docs`` with a column ``score`` (one of that name is replaced).
 
@@ -136,7 +159,8 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, docs_per_class: int = 8000
     sample, and with it of what is broadcast. :func:`word_ratios` makes the two class models. Every whole text
     is then scored in one pass without a shuffle: the toxic and the ordinary model's log-likelihoods are
     compared per word, over the whole text and over its most telling word (one insult in a long text hardly
-    moves the former), and a logistic function maps both to (0, 1). It is fitted on halves of the sample, each
+    moves the former), and a logistic function maps both to (0, 1). Of ``DISCOUNTS`` that is taken whose logistic
+    explains the sample's labels best: a small sample has too few neighbours of a word for a large one. It is fitted on halves of the sample, each
     scored by the other half's model, and texts are scored by the mean of both halves' ratios: a model of the whole
     sample knows more rare words, so that its ratios would not be those that were fitted. A
     sampled row counts in it as many times as its class has labels per
@@ -155,26 +179,19 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, docs_per_class: int = 8000
     sample = chosen[0].union(chosen[1]).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     picked = checkpoint(texts.join(F.broadcast(sample), "doc_id").select("toxic", "fold", "text"))
-    model, *other = word_ratios(checkpoint(word_counts(_pairs(picked), [(0, 1), (1,), (0,)])), 3)
-    weights = np.zeros(3)
-    if model is not None:
+    counts = checkpoint(word_counts(_pairs(picked), [(0, 1), (1,), (0,)]))
+    tried = [word_ratios(counts, 3, discount) for discount in DISCOUNTS]
+    model, weights = None, np.zeros(3)
+    if tried[0][0] is not None:
         # a half without one of the classes has no model; the other half's examples then go by the whole one
-        pair = [m or model for m in other]
-        model = mean_model(*pair)
-        halves = spark.sparkContext.broadcast(pair)
-
-        def examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                fold, text = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-                x = np.array([features(tokens(t), *halves.value[f]) for f, t in zip(fold, text, strict=True)]).reshape(-1, 2)
-                yield pa.RecordBatch.from_pydict({"y": batch.column(0), "mean": x[:, 0], "top": x[:, 1]})
-
-        got = picked.mapInArrow(examine, "y int, mean double, top double").orderBy("y", "mean", "top").toArrow()
-        halves.destroy()
-        x, y = np.column_stack([got[c].to_numpy() for c in ("mean", "top")]), got["y"].to_numpy()
+        pairs = [[half or whole for half in halves] for whole, *halves in tried]
+        y, x = _examined(picked, pairs)
         labelled = dict(map(tuple, known.groupBy("toxic").count().collect()))
-        times = np.array([max(labelled.get(c, 0) / docs_per_class, 1.0) for c in (0, 1)])
-        weights = logistic(x, y.astype(np.float64), times=times[y])
+        times = np.array([max(labelled.get(c, 0) / docs_per_class, 1.0) for c in (0, 1)])[y]
+        fits = [logistic(f, y.astype(np.float64), times=times) for f in x]
+        best = min(range(len(fits)), key=lambda i: log_loss(fits[i], x[i], y, times))
+        model, weights = mean_model(*pairs[best]), fits[best]
+    del tried
     sent = spark.sparkContext.broadcast(model)
     docs = docs.drop("score")
     place = docs.columns.index("text")

@@ -250,3 +250,17 @@ def test_toxicity_threshold_does_not_depend_on_the_sample(spark):
     lab = spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(450)], "doc_id long, toxic int")
     whole, some = (toxicity.score_toxicity(df, lab, docs_per_class=n).toPandas().score.mean() for n in (8000, 40))
     assert abs(whole - 1 / 9) < 0.05 and abs(some - whole) < 0.08
+
+
+def test_toxicity_discount_is_the_one_that_explains_the_labels(spark):
+    """Few toxic documents: five different neighbours of an insult are not to be had, two are."""
+    rng = np.random.default_rng(6)
+    fill = [f"{a}{b}{c}" for a in "abcd" for b in "efgh" for c in "ij"]
+    rows = [(i, " ".join([*rng.choice(fill, 15), "vile" if i % 10 == 0 else "kind", *rng.choice(fill, 15)])) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity.score_toxicity(df, spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(120)], "doc_id long, toxic int"))
+    assert all((r["doc_id"] % 10 == 0) == (r["predicted"] == 1) for r in got.collect())
+    x, y = np.array([[0.0, 0.0], [2.0, 1.0]]), np.array([0, 1])
+    weights = np.array([0.1, 1.0, -0.5])
+    p = 1 / (1 + np.exp(-np.array([0.1, 1.6])))
+    assert abs(toxicity.log_loss(weights, x, y, np.array([3.0, 1.0])) + 3 * np.log(1 - p[0]) + np.log(p[1])) < 1e-12
