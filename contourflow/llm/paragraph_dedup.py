@@ -358,32 +358,36 @@ def paragraph_duplicates(
         place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "s", "k1", "k2", "start", "e")
         heads = found.groupBy("seed", "run").agg(F.min(place).alias("h"), F.count("*").alias("n")).where("n > 1").select("seed", "run", "h")
         heads = stored(heads, "heads")
-        if heads.count() <= MOST_BROADCAST:
-            heads = F.broadcast(heads)
-        met = found.join(heads, ["seed", "run"])
+        few = heads.count() <= MOST_BROADCAST
+        met = found.join(F.broadcast(heads) if few else heads, ["seed", "run"])
         home = (F.col("k1") == F.col("h.k1")) & (F.col("k2") == F.col("h.k2"))
         later = met.where(~(home & (F.col("s") == F.col("h.s"))))
-        stays = (home & (F.col("s") < F.col("h.e"))).alias("stays")
+        later = later.select("k1", "k2", "start", "s", "e", (home & (F.col("s") < F.col("h.e"))).alias("stays"))
+        if not few:
+            # the broadcast leaves a text's runs together; the shuffled join scatters them
+            later = later.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "start", "s")
 
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Neighbouring runs as one, and every place once with ``s`` -1."""
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                v = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(9)])
+                v = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(6)])
                 gone = v[v[:, 5] == 0, :5]
                 if len(gone):
                     gone = gone[np.lexsort(gone.T[::-1])]
                     cut = np.r_[True, (gone[1:, :3] != gone[:-1, :3]).any(axis=1) | (gone[1:, 3] > gone[:-1, 4])]
                     gone = np.column_stack([gone[cut, :4], gone[np.r_[cut[1:], True], 4]])
-                seen = np.unique(np.concatenate([v[:, :3], v[:, 6:9]]), axis=0)
+                seen = np.unique(v[:, :3], axis=0)
                 both = np.concatenate([gone, np.column_stack([seen, np.full((len(seen), 2), -1)])])
                 yield pa.RecordBatch.from_pydict(dict(zip(("k1", "k2", "start", "s", "e"), both.T.copy(), strict=True)))
 
-        merged = later.select("k1", "k2", "start", "s", "e", stays, F.col("h.k1").alias("a"), F.col("h.k2").alias("b"), F.col("h.start").alias("c"))
-        merged = merged.mapInArrow(merge, "k1 long, k2 long, start long, s long, e long")
+        merged = later.mapInArrow(merge, "k1 long, k2 long, start long, s long, e long")
         gone = F.when(F.col("s") >= 0, F.struct(F.col("s").alias("start"), F.col("e").alias("end")))
-        return merged.select("k1", "k2", "start", gone.alias("gone"))
+        merged = merged.select("k1", "k2", "start", gone.alias("gone"))
+        # every run here occurs again, so the paragraph of its first place holds one, too
+        firsts = heads.select("h.k1", "h.k2", "h.start").distinct()
+        return merged.unionByName(firsts, allowMissingColumns=True)
 
     roots = components(links)
     labelled = pieces_of.join(roots, pieces_of.uid == roots.node, "left").select(

@@ -219,7 +219,9 @@ def test_long_paragraphs_are_compared_whole(spark):
     assert set(want) == {1, 3, 5, 7, 9} and {d: n for d, n in zip(got.doc_id, got.n_removed, strict=True) if n} == want
 
 
-def test_passages_inside_longer_paragraphs(spark):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_passages_inside_longer_paragraphs(spark, monkeypatch, most):
+    monkeypatch.setattr(paragraph_dedup, "MOST_BROADCAST", most)
     rng = np.random.default_rng(12)
     fresh = iter(f"w{i}" for i in range(10**6))
 
