@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bindings as B
 from .functions import geometry, radial
-from .operators import clustering, contact, descriptors, fields, graph, learning, projection, selection, stationary, tables
+from .operators import clustering, collection, contact, descriptors, fields, graph, learning, projection, selection, stationary, tables
 from .plans import iterate
 from .sources import outputs, structures
 
@@ -796,3 +796,35 @@ def descriptor_projection(spark, sf):
     # equal sums in another order may differ in the last bits; ties are decided on rounded values
     best = projection.min_projection(joined.withColumn("g1", F.round("g1", 9)), "g1")
     return rounded(best.select("map_index", "point_index", "multiplicity", "g1"))
+
+
+# --- collections of maps ----------------------------------------------------------
+@query(f"""WITH {B.POINTS_SQL} SELECT {L('map_index', 'point_index')}, {r('energy * 2', 'strength')}, {r('probability', 'boundary_switch')},
+{r('x', 'boundary_gradient_x')}, {r('y', 'boundary_gradient_y')}, {r('z', 'boundary_gradient_z')} FROM points""")
+def annotated_points(spark, sf):
+    p = B.points(spark, sf)
+    keys = ["map_index", "point_index"]
+    p, _ = collection.annotate(p, p.select(*keys, (F.col("energy") * 2).alias("strength")), "strength", keys=keys)
+    p = collection.boundary_columns(p, {"switch": "probability"}, {"gradient": ("x", "y", "z")})
+    return rounded(p.select(*keys, "strength", "boundary_switch", *[f"boundary_gradient_{c}" for c in "xyz"]))
+
+
+@query(f"""WITH {B.POINTS_SQL} SELECT {L('map_index', 'point_index')}, r_name AS folder FROM points
+LEFT JOIN region ON map_index = r_regionkey AND r_regionkey > 0""")
+def map_metadata(spark, sf):
+    regions = B.table(spark, sf, "region").where("r_regionkey > 0").select(F.col("r_regionkey").cast("int").alias("map_index"), F.col("r_name").alias("folder"))
+    return rounded(collection.attach_metadata(B.points(spark, sf).select("map_index", "point_index"), regions))
+
+
+@query(f"""WITH {B.POINTS_SQL}, old AS (SELECT map_index, point_index, CASE WHEN point_index % 2 = 0 THEN 'archetype' ELSE 'centroid' END AS kind,
+  1 AS iteration, 'completed' AS label_status FROM points WHERE layer = 0),
+new AS (SELECT map_index, point_index, 'centroid' AS kind, 2 AS iteration, 'unlabeled' AS label_status FROM points WHERE region = 1)
+SELECT {L('map_index', 'point_index')}, kind, {L('iteration')}, label_status FROM new UNION ALL
+SELECT {L('map_index', 'point_index')}, kind, {L('iteration')}, label_status FROM old
+WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.map_index = old.map_index AND new.point_index = old.point_index AND new.kind = old.kind)""")
+def global_special_points(spark, sf):
+    p = B.points(spark, sf).withColumn("global_point_index", F.col("point_index") * 4 + F.col("map_index"))
+    kind = F.when(F.col("point_index") % 2 == 0, "archetype").otherwise("centroid")
+    old = p.where("layer = 0").select("map_index", "point_index", kind.alias("kind"), F.lit(1).alias("iteration"), F.lit("completed").alias("label_status"))
+    got = collection.register_global(old, p, p.where("region = 1").select("global_point_index"), "centroid", 2)
+    return rounded(got.select("map_index", "point_index", "kind", "iteration", "label_status"))

@@ -35,8 +35,10 @@ def find_files(spark: SparkSession, folders: str | Sequence[str], pattern: str =
     name = F.element_at(F.split("source_file", "/"), -1)
     folder = F.regexp_replace("source_file", "/[^/]*$", "")
     last = F.element_at(F.split(folder, "/"), -1)
-    return both.select(
-        (F.row_number().over(Window.orderBy("_f", "source_file")) - 1).alias("map_index"), "source_file", name.alias("source_file_name"),
+    # the paths alone are numbered; the contents do not pass the window
+    numbered = both.select("_f", "source_file", (F.row_number().over(Window.orderBy("_f", "source_file")) - 1).alias("map_index"))
+    return both.join(numbered, ["_f", "source_file"]).select(
+        "map_index", "source_file", name.alias("source_file_name"),
         F.regexp_replace(name, r"\.[^.]*$", "").alias("source_file_stem"), folder.alias("source_folder"), last.alias("source_folder_name"),
         folder_number(last).alias("source_folder_number"), "content",
     )
