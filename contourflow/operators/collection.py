@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import assign, propagation_scores, reweight
+from .selection import energy_component, greedy_select
 from .tables import upsert
 
 #: The columns of the contact space, which no annotation may replace.
@@ -85,6 +87,73 @@ def global_ids(registry: DataFrame, points: DataFrame) -> DataFrame:
     return points.join(special, ["map_index", "point_index"], "left_semi").select("global_point_index").distinct()
 
 
+def select_special_points(
+    registry: DataFrame, points: DataFrame, n: int, kind: str = "adaptive", iteration: int | None = None, label_status: str = "unlabeled",
+    replace_kind: bool = False, features: Sequence[str] = (), space: Sequence[str] = ("x", "y", "z"), real_weight: float = 0.0,
+    feature_weight: float = 1.0, energy: str | None = None, energy_weight: float = 0.0, uncertainty: str | None = None,
+    uncertainty_weight: float = 0.0, scale: bool = True, region: int | None = None, layer: int | None = None, **energy_settings,
+) -> DataFrame:
+    """``registry`` with ``n`` more points, chosen greedily, with ``selection_rank`` (from 0) and ``selection_score``.
+
+    The registered points are the seeds, which are not chosen again; ``region`` and ``layer`` restrict the
+    candidates and seeds. A weight of an energy or uncertainty needs its column. The new rows replace equal
+    (point, kind); ``replace_kind`` first deletes the kind.
+    """
+    for column, value in (("region", region), ("layer", layer)):
+        if value is not None:
+            points = points.where(F.col(column) == value)
+    extra = []
+    if energy_weight:
+        if energy is None:
+            raise ValueError("a weight of the energy needs its column")
+        points = energy_component(points, energy, **energy_settings)
+        extra.append(("energy_component", energy_weight))
+    if uncertainty_weight:
+        if uncertainty is None:
+            raise ValueError("a weight of the uncertainty needs its column")
+        extra.append((uncertainty, uncertainty_weight))
+    seeds = registry.select("point_index").distinct()
+    chosen = greedy_select(points, n, features, space, "point_index", seeds, real_weight, feature_weight, extra, scale)
+    rows = registry.sparkSession.createDataFrame(
+        [(int(i), kind, iteration, label_status, rank, float(score)) for rank, (i, score) in enumerate(chosen)],
+        "point_index long, kind string, iteration int, label_status string, selection_rank long, selection_score double",
+    )
+    return upsert(registry, rows, ["point_index", "kind"], kind if replace_kind else None)
+
+
+def propagate_archetypes(
+    edges: DataFrame, nodes: DataFrame, selected: Sequence[int], mode: str = "diffusion", alpha: float = 0.9, most: int = 500,
+    tolerance: float = 1e-8, confidence: float = 0.5, margin: float = 0.0, realspace_scale: float = 1.0, feature_scale: float = 1.0,
+    use_nodes: bool = False,
+) -> DataFrame:
+    """The rows of ``nodes`` with the archetype that reaches each along the reweighted edges.
+
+    ``selected`` lists the archetypes' points. Adds ``assigned_archetype_rank`` (place in that list) and
+    ``assigned_archetype_index`` (its point), both -1 where ``is_ambiguous``; ``archetype_confidence``,
+    ``archetype_margin`` and one ``archetype_score_<rank>`` each, 0 where an archetype does not reach.
+    """
+    if not 0 < alpha < 1 or most <= 0 or tolerance <= 0:
+        raise ValueError("alpha must lie between 0 and 1, the rounds and the tolerance be positive")
+    if not selected or len(set(selected)) != len(selected):
+        raise ValueError("archetypes must be given, each once")
+    seeds = nodes.sparkSession.createDataFrame([(int(i), rank) for rank, i in enumerate(selected)], "node long, label long")
+    if lost := seeds.join(nodes, seeds.node == nodes.point_index, "left_anti").first():
+        raise ValueError(f"archetype {lost[0]} is no node")
+    scores = propagation_scores(reweight(edges, realspace_scale, feature_scale, use_nodes), seeds, mode, alpha, most, tolerance)
+    best = assign(nodes.select(F.col("point_index").alias("node")), scores, confidence, margin)
+    ranks = list(range(len(selected)))
+    wide = scores.groupBy("node").pivot("label", ranks).agg(F.first("score"))
+    wide = wide.select(F.col("node").alias("_node"), *[F.coalesce(F.col(str(k)), F.lit(0.0)).alias(f"archetype_score_{k}") for k in ranks])
+    index = F.element_at(F.array(*[F.lit(int(i)).cast("long") for i in selected]), F.col("label").cast("int") + 1)
+    best = best.select(
+        F.col("node").alias("point_index"), F.col("label").alias("assigned_archetype_rank"),
+        F.when(F.col("label") < 0, F.lit(-1).cast("long")).otherwise(index).alias("assigned_archetype_index"),
+        F.col("confidence").alias("archetype_confidence"), F.col("margin").alias("archetype_margin"), "is_ambiguous",
+    )
+    out = nodes.join(best, "point_index").join(wide, F.col("point_index") == F.col("_node"), "left").drop("_node")
+    return out.na.fill(0.0, [f"archetype_score_{k}" for k in ranks])
+
+
 def radii_of(table: DataFrame, mode: str) -> DataFrame:
     """``symbol, radius`` of one mode of ``table(symbol, pauling, bondi, uff, muff)``; uff and muff are diameters."""
     factors = {"pauling": 1.0, "bondi": 1.0, "uff": 0.5, "muff": 0.5}

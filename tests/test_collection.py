@@ -62,3 +62,34 @@ def test_saved_tables(spark, tmp_path):
     assert sorted(map(str, tables["points"].collect())) == sorted(map(str, points.collect())) and tables["names"].first()[0] == "a"
     assert [r[0] for r in store.pending(points, points.where("map_index < 5")).collect()] == [12]
     assert store.pending(points, None).count() == 3
+
+
+def test_special_points_are_selected_and_registered(spark):
+    rows = [(0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.1), (1, 0.0, 0.0, 1.0, 10.0, 0.0, 0.1), (2, 0.0, 0.0, 2.0, 9.0, 0.0, 0.9), (3, 0.0, 0.0, 3.0, 0.0, 10.0, 0.1)]
+    points = spark.createDataFrame(rows, "point_index long, x double, y double, z double, f1 double, f2 double, u double")
+    registry = spark.createDataFrame([(0, "centroid", 1, "completed")], "point_index long, kind string, iteration int, label_status string")
+    got = collection.select_special_points(registry, points, 2, iteration=2, features=["f1", "f2"])
+    new = sorted((r.selection_rank, r.point_index, r.iteration, r.label_status) for r in got.where("kind = 'adaptive'").collect())
+    assert {p for _, p, _, _ in new} == {1, 3} and [(a, c, e) for a, _, c, e in new] == [(0, 2, "unlabeled"), (1, 2, "unlabeled")]
+    unsure = collection.select_special_points(registry, points, 1, feature_weight=0.0, uncertainty="u", uncertainty_weight=1.0)
+    assert [r.point_index for r in unsure.where("kind = 'adaptive'").collect()] == [2]
+    with pytest.raises(ValueError):
+        collection.select_special_points(registry, points, 4, features=["f1"])
+    with pytest.raises(ValueError):
+        collection.select_special_points(registry, points, 1, energy_weight=1.0)
+
+
+def test_archetypes_propagate_along_a_chain(spark):
+    nodes = spark.createDataFrame([(i, float(i)) for i in range(9)], "point_index long, x double")
+    edges = spark.createDataFrame(
+        [(i, i + 1, 1.0, 0.0, 1.0, 1.0, 1.0) for i in range(7)],
+        "source long, target long, realspace_component double, feature_component double, directional_factor double, node_factor double, weight double",
+    )
+    got = collection.propagate_archetypes(edges, nodes, [7, 0], mode="shortest_path").orderBy("point_index").collect()
+    assert [r.assigned_archetype_index for r in got] == [0, 0, 0, 0, 7, 7, 7, 7, -1]
+    assert [r.assigned_archetype_rank for r in got] == [1, 1, 1, 1, 0, 0, 0, 0, -1]
+    assert [r.is_ambiguous for r in got] == [False] * 8 + [True]
+    assert all(abs(r.archetype_score_0 + r.archetype_score_1 - 1) < 1e-12 for r in got[:8]) and got[8].archetype_score_0 == 0
+    for bad in ([], [1, 1], [99]):
+        with pytest.raises(ValueError):
+            collection.propagate_archetypes(edges, nodes, bad)
