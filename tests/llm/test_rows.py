@@ -240,6 +240,47 @@ def test_pipeline_stages(spark, tmp_path):
     assert "decoded_sha256" in docs.columns and docs.where("n_tokens is null").count() == 0
 
 
+def test_pipeline_awkward(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(4000)])
+    plain = [" ".join(rng.choice(words, 60)) for _ in range(30)]
+    long = " ".join(rng.choice(words, 300_000))
+    rows = [(i, t, "en", "ab"[i % 2], len(t)) for i, t in enumerate(plain)]
+    rows += [(30, None, None, None, None), (31, "", "en", "a", 0), (None, "alone " + plain[0], "en", "a", 1), (32, long, "en", None, len(long))]
+    rows += [rows[3], (33, plain[4], "en", "b", 1), (34, plain[5], "en", "a", 1)]
+    clash = DOCS + ", score double, root long, k1 long, spans int, size int, copy int, ids int, `a.b` int"
+    labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(20)], "doc_id long, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    empty = spark.createDataFrame([], "doc_id long, toxic int")
+    empty.write.parquet(str(tmp_path / "none" / "labels.parquet"))
+
+    def through(docs, sf_dir):
+        kept = []
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = f"{sf_dir}/{docs.sparkSession.sparkContext.applicationId}-{i}"
+            stage(spark, docs, sf_dir).write.parquet(out)
+            docs = spark.read.parquet(out)
+            kept.append(docs.toPandas())
+            assert name == "bpe" or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        return dict(zip([name for name, _ in corpus_pipeline.STAGES], kept, strict=True))
+
+    got = through(spark.createDataFrame([(*r, 0.9, 1, 2, 3, 4, 5, 6, 7) for r in rows], clash), str(tmp_path / "none"))
+    assert len(got["toxicity"]) == len(rows)
+    # the repeated row, the copies 33 and 34 and one of the two texts without words go; all else stays
+    ids = got["simhash_dedup"].doc_id
+    assert ids.dropna().astype(int).sort_values().tolist() == [*range(31), 32] and ids.isna().sum() <= 1
+    cut = got["suffix_dedup"].set_index("doc_id").text
+    assert len(cut) == len(ids) and cut[30] == "" and cut[32] == long and cut[7] == plain[7]
+    assert len(got["bpe"]) == len(got["mixing"]) >= 30
+    by = {h for h in got["bpe"].decoded_sha256}
+    assert by == {hashlib.sha256(t.encode()).hexdigest() for t in got["mixing"].text}
+    scored = through(spark.createDataFrame([(*r, 0.9, 1, 2, 3, 4, 5, 6, 7) for r in rows], clash), str(tmp_path))
+    assert len(scored["toxicity"]) <= len(rows)
+    (tmp_path / "bare").mkdir()
+    labels.write.parquet(str(tmp_path / "bare" / "labels.parquet"))
+    assert all(len(v) == 0 for v in through(spark.createDataFrame([], DOCS), str(tmp_path / "bare")).values())
+
+
 def test_toxicity_threshold_does_not_depend_on_the_sample(spark):
     import numpy as np
 
