@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bindings as B
 from .functions import geometry, radial
-from .operators import clustering, collection, contact, descriptors, fields, graph, learning, projection, selection, stationary, tables
+from .operators import clustering, collection, contact, descriptors, fields, graph, learning, panels, projection, selection, stationary, tables
 from .plans import iterate
 from .sources import outputs, structures
 
@@ -828,3 +828,24 @@ def global_special_points(spark, sf):
     old = p.where("layer = 0").select("map_index", "point_index", kind.alias("kind"), F.lit(1).alias("iteration"), F.lit("completed").alias("label_status"))
     got = collection.register_global(old, p, p.where("region = 1").select("global_point_index"), "centroid", 2)
     return rounded(got.select("map_index", "point_index", "kind", "iteration", "label_status"))
+
+
+# --- data behind figures ------------------------------------------------------------------------
+@query(f"""WITH ends AS (SELECT l_returnflag, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY l_returnflag)
+SELECT l_returnflag, CAST(i AS BIGINT) AS level_index, {r(f'lo + (hi - lo) / {d(9.0)} * i', 'level')} FROM ends, range(10) AS steps(i)""")
+def contour_levels(spark, sf):
+    return rounded(panels.contour_levels(B.table(spark, sf, "lineitem"), ["l_extendedprice"], 10, ["l_returnflag"]))
+
+
+@query(f"""SELECT {L('o_orderkey')}, {r('o_totalprice - 150000', 'residual')},
+CASE WHEN row_number() OVER (ORDER BY abs(o_totalprice - 150000) DESC, o_orderkey) <= 3
+THEN CAST(row_number() OVER (ORDER BY abs(o_totalprice - 150000) DESC, o_orderkey) AS BIGINT) ELSE 0 END AS error_rank FROM orders""")
+def parity_points(spark, sf):
+    o = B.table(spark, sf, "orders").withColumn("reference", F.lit(150000.0))
+    marked = panels.parity_points(o, "reference", "o_totalprice", "o_orderkey").fillna(0, ["error_rank"])
+    return rounded(marked.select("o_orderkey", "residual", "error_rank"))
+
+
+@query(f"""WITH {B.POINTS_SQL} SELECT {r('z', 'panel')}, {r('x', 'x1')}, {r('y', 'x2')}, {r('x * y', 'value')} FROM points WHERE region = 0""")
+def figure_panels(spark, sf):
+    return rounded(panels.panels(B.points(spark, sf).withColumn("product", F.col("x") * F.col("y")), "product"))
