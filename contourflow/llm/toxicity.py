@@ -151,12 +151,12 @@ def _examined(picked: DataFrame, pairs: list[list[tuple[dict[bytes, float], floa
     return got["y"].to_numpy(), [np.column_stack([got[f"{c}{i}"].to_numpy() for c in ("mean", "top")]) for i in range(len(pairs))]
 
 
-def with_toxicity(docs: DataFrame, labels: DataFrame, docs_per_class: int = 8000) -> DataFrame:
+def with_toxicity(docs: DataFrame, labels: DataFrame, docs_per_class: int | None = None) -> DataFrame:
     """The rows of ``docs`` with a column ``score`` (one of that name is replaced).
 
-    Learns ``labels.toxic`` (0 or 1) from rows whose CRC-32 of the id's text is not divisible by five, at
-    most ``docs_per_class`` of each class by lowest hash of the id: the documented bound of the training
-    sample, and with it of what is broadcast. :func:`word_ratios` makes the two class models. Every whole text
+    Learns ``labels.toxic`` (0 or 1) from all rows whose CRC-32 of the id's text is not divisible by five (given
+    ``docs_per_class``, from that many of each class by lowest hash of the id). The ids with their labels and the
+    words with enough neighbours are broadcast, and two pairs of features a labelled row reach the driver. :func:`word_ratios` makes the two class models. Every whole text
     is then scored in one pass without a shuffle: the toxic and the ordinary model's log-likelihoods are
     compared per word, over the whole text and over its most telling word (one insult in a long text hardly
     moves the former), and a logistic function maps both to (0, 1). Of ``DISCOUNTS`` that is taken whose logistic
@@ -175,10 +175,13 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, docs_per_class: int = 8000
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs_per_class) for c in (0, 1)]
-    sample = chosen[0].union(chosen[1]).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int"))
+    sample = known
+    if docs_per_class is not None:
+        chosen = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs_per_class) for c in (0, 1)]
+        sample = chosen[0].union(chosen[1])
+    sample = sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    picked = checkpoint(texts.join(F.broadcast(sample), "doc_id").select("toxic", "fold", "text"))
+    picked = texts.join(F.broadcast(checkpoint(sample)), "doc_id").select("toxic", "fold", "text")
     counts = checkpoint(word_counts(_pairs(picked), [(0, 1), (1,), (0,)]))
     tried = [word_ratios(counts, 3, discount) for discount in DISCOUNTS]
     model, weights = None, np.zeros(3)
@@ -186,8 +189,10 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, docs_per_class: int = 8000
         # a half without one of the classes has no model; the other half's examples then go by the whole one
         pairs = [[half or whole for half in halves] for whole, *halves in tried]
         y, x = _examined(picked, pairs)
-        labelled = dict(map(tuple, known.groupBy("toxic").count().collect()))
-        times = np.array([max(labelled.get(c, 0) / docs_per_class, 1.0) for c in (0, 1)])[y]
+        times = np.ones(len(y))
+        if docs_per_class is not None:
+            labelled = dict(map(tuple, known.groupBy("toxic").count().collect()))
+            times = np.array([max(labelled.get(c, 0) / docs_per_class, 1.0) for c in (0, 1)])[y]
         fits = [logistic(f, y.astype(np.float64), times=times) for f in x]
         best = min(range(len(fits)), key=lambda i: log_loss(fits[i], x[i], y, times))
         model, weights = mean_model(*pairs[best]), fits[best]

@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from contourflow.llm import toxicity
 from contourflow.operators import clustering, contact
 
 
@@ -70,3 +72,13 @@ def test_regions_beyond_the_grid(spark):
     points = spark.createDataFrame([(0, 0, 0, 0), (1, 0, 0, 1), (2, 0, 0, 7), (3, 0, 0, 4)], "point_index long, ix int, iy int, iz int")
     got = contact.regions(points, contact.neighbour_edges(points, (3, 3, 6))).orderBy("point_index").toPandas()
     assert got["region"].tolist() == [0, 0, 1, 2]
+
+
+def test_toxicity_learns_from_all_labels(spark, monkeypatch):
+    toxic = F.col("doc_id") % 10 == 0
+    docs = spark.range(12_500).withColumnRenamed("id", "doc_id")
+    docs = docs.withColumn("text", F.concat(F.when(toxic, "you fool ").otherwise("fine day "), "doc_id"))
+    seen, pairs = [], toxicity._pairs
+    monkeypatch.setattr(toxicity, "_pairs", lambda picked: seen.append(picked.count()) or pairs(picked))
+    toxicity.with_toxicity(docs, docs.select("doc_id", toxic.cast("int").alias("toxic")))
+    assert seen == [docs.where(~toxicity.held_out(F.col("doc_id"))).count()]
