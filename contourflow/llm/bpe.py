@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: Words of more bytes are merged by a heap on the executor; the fold's work grows with the square of the length.
 LONGEST_FOLD = 48
 #: Text that a worker turns into one row of words.
@@ -278,7 +280,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
 
     split_schema = "epoch int, words array<array<bigint>>, long_ids array<binary>, docs binary, doc_id array<bigint>, ends array<bigint>"
     out_schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
-    encoded = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(split, split_schema).select(
+    encoded = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(split), split_schema).select(
         "epoch",
         _let(rank_map(ranks), encode).alias("ids"),
         "long_ids",
@@ -286,7 +288,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
         "doc_id",
         "ends",
     )
-    return encoded.mapInArrow(join, out_schema)
+    return encoded.mapInArrow(lean(join), out_schema)
 
 
 def decode_ids(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, forest, keyed_documents
+from .common import checkpoint, components, forest, keyed_documents, lean
 
 #: Variants that a worker holds at once; above it a bin is split by one more leading bit.
 MOST_VARIANTS = 3_000_000
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, keys: tuple[st
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(fp.view(np.int64))], [*keys, "fp"])
 
     schema = "".join(f"{k} long, " for k in keys) + "fp long"
-    return docs.select(*[F.col(k).cast("long").alias(k) for k in keys], "text").mapInArrow(run, schema)
+    return docs.select(*[F.col(k).cast("long").alias(k) for k in keys], "text").mapInArrow(lean(run), schema)
 
 
 def _balls(fps: np.ndarray, bin_: int, b: int, half: int) -> tuple[np.ndarray, np.ndarray]:

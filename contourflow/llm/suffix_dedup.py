@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, compressed, keyed_documents
+from .common import checkpoint, compressed, keyed_documents, lean
 
 #: Bytes that are hashed to choose suffixes; every window of the wanted length holds a chosen one of its own.
 LEAD = 80
@@ -224,13 +224,13 @@ def find_repeats(keyed: DataFrame, length: int) -> DataFrame:
         keep = full | compare
         yield pa.RecordBatch.from_pydict({"k1": k1[keep], "at": at[keep], "full": full[keep], "compare": compare[keep]})
 
-    suffixes = keyed.mapInArrow(sample, "lead long, context long, k1 long, at long")
+    suffixes = keyed.mapInArrow(lean(sample), "lead long, context long, k1 long, at long")
     # as many buckets as the bytes need, so that a task's share does not grow with the corpus
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES))
     bins = 16 * parts
     marked = suffixes.repartitionByRange(parts, "lead", "context", "k1", "at").mapInArrow(
-        classify, "k1 long, at long, full boolean, compare boolean"
+        lean(classify), "k1 long, at long, full boolean, compare boolean"
     )
     marked = checkpoint(marked)
     pos, k2 = F.col("at").bitwiseAND(F.lit(2**32 - 1)), F.shiftright("at", 32)
@@ -253,7 +253,7 @@ def find_repeats(keyed: DataFrame, length: int) -> DataFrame:
 
     packed = compressed(keyed)
     pieces = packed.join(wanted, ["k1", "k2"]).select("k1", "k2", "z", "at").mapInArrow(
-        contexts, "right binary, left binary, k1 long, at long"
+        lean(contexts), "right binary, left binary, k1 long, at long"
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,14 +271,15 @@ def find_repeats(keyed: DataFrame, length: int) -> DataFrame:
         row, d = np.nonzero(cross)
         if len(row):
             # with d, so that one window is not met again from another suffix inside it
-            window = [j.to_bytes(4, "little") + left[i][:j][::-1] + right[i][: length - j] for i, j in zip(row.tolist(), d.tolist(), strict=True)]
+            # one at a time: all windows of a bucket at once are a hundred times its bytes
+            window = (j.to_bytes(4, "little") + left[i][:j][::-1] + right[i][: length - j] for i, j in zip(row.tolist(), d.tolist(), strict=True))
             digest = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in window]), "<i8").reshape(-1, 2)
             known = repeat[row, d].astype(np.int64)
             both = np.column_stack([digest, k1[row], k2[row], pos[row] - d, known])
             # neighbouring windows share a core, which deals them out by content
             block = d // TOGETHER * TOGETHER
             _, first, back = np.unique(row * (reach + 1) + block, return_index=True, return_inverse=True)
-            cores = [left[row[i]][: block[i]][::-1] + right[row[i]][: length - block[i] - TOGETHER + 1] for i in first]
+            cores = (left[row[i]][: block[i]][::-1] + right[row[i]][: length - block[i] - TOGETHER + 1] for i in first)
             where = np.array([int.from_bytes(hashlib.blake2b(c, digest_size=8).digest(), "little") % bins for c in cores])[back]
             for b in np.unique(where).tolist():
                 zero = pa.array([0], pa.int64())
@@ -286,7 +287,7 @@ def find_repeats(keyed: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([zero, zero, zero, zero, pa.array([b], pa.int32()), blob], names)
 
     found = pieces.repartitionByRange(parts, "right", "left", "k1", "at").mapInArrow(
-        compare, "k1 long, k2 long, start long, end long, bin int, blob binary"
+        lean(compare), "k1 long, k2 long, start long, end long, bin int, blob binary"
     )
     found = checkpoint(found)
 
@@ -356,7 +357,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False,
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], [*carry, *out])
 
     before = "".join(f"`{c}` {t}, " for c, t in docs.select(*carry).dtypes)
-    return joined.mapInArrow(cut, before + "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text)
+    return joined.mapInArrow(lean(cut), before + "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text)
 
 
 def _runs(start: pa.Scalar, end: pa.Scalar, size: int, length: int) -> list[tuple[int, int]]:

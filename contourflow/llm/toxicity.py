@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, lean
 
 #: Absolute discounts of a class's own continuation counts; the halves of the sample decide between them.
 DISCOUNTS = (5.0, 2.0)
@@ -116,7 +116,7 @@ def _pairs(picked: DataFrame) -> DataFrame:
                     masks = {}
             yield _masked(masks)
 
-    found = picked.mapInArrow(run, "word binary, before long, mask int")
+    found = picked.mapInArrow(lean(run), "word binary, before long, mask int")
     return found.groupBy("word", "before").agg(F.bit_or("mask").alias("mask"))
 
 
@@ -146,7 +146,7 @@ def _examined(picked: DataFrame, pairs: list[list[tuple[dict[bytes, float], floa
             columns = np.array(x).reshape(-1, len(names)).T
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], ["y", *names])
 
-    got = picked.mapInArrow(run, "y int" + "".join(f", {n} double" for n in names)).orderBy("y", *names).toArrow()
+    got = picked.mapInArrow(lean(run), "y int" + "".join(f", {n} double" for n in names)).orderBy("y", *names).toArrow()
     sent.destroy()
     return got["y"].to_numpy(), [np.column_stack([got[f"{c}{i}"].to_numpy() for c in ("mean", "top")]) for i in range(len(pairs))]
 
@@ -211,7 +211,7 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, docs_per_class: int | None
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], [*batch.schema.names, "score"])
 
     schema = "".join(f"`{c}` {t}, " for c, t in docs.dtypes)
-    return docs.mapInArrow(score, schema + "score double")
+    return docs.mapInArrow(lean(score), schema + "score double")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
