@@ -7,6 +7,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from .common import checkpoint, lean
 
 #: Absolute discounts of a class's own continuation counts; the halves of the sample decide between them.
 DISCOUNTS = (5.0, 2.0)
+#: Word pairs, distinct within their texts, that a task holds before it sends them.
+MOST_PAIRS = 1 << 21
 #: Bits of a word pair: which of (ordinary, toxic) x (fold 0, fold 1) hold it.
 ORDINARY, TOXIC = (1, 2), (4, 8)
 _FOLDED = bytes(32 if i < 48 or 58 <= i < 65 or 91 <= i < 97 or 123 <= i < 128 else i for i in range(256))
@@ -99,33 +102,58 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _pairs(picked: DataFrame) -> DataFrame:
-    """``word, before, mask`` for each distinct pair of neighbouring words in ``picked(toxic, fold, text)``."""
+    """``word, before, mask`` for each distinct pair of neighbouring words in ``picked(toxic, fold, text)``.
+
+    The word before is told by 60 bits of its hash. Pairs are shuffled as lists, one for each word and sixteenth of
+    the hashes, which takes the bytes of a hash for a pair and still deals the pairs of a frequent word over many tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [(ORDINARY, TOXIC)[c][f] for c in (0, 1) for f in (0, 1)]
+        numbers, held, size = {b"": 0}, [], 0
         for batch in batches:
             cls, fold = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            masks: dict[tuple[bytes, bytes], int] = {}
-            for c, f, text in zip(cls, fold, batch.column(2).to_pylist(), strict=True):
-                words = tokens(text)
-                bit = kinds[2 * c + f]
-                for pair in set(zip(words, [b"", *words], strict=False)):
-                    masks[pair] = masks.get(pair, 0) | bit
-                if len(masks) > 200_000:
-                    yield _masked(masks)
-                    masks = {}
-            yield _masked(masks)
-
-    found = picked.mapInArrow(lean(run), "word binary, before long, mask int")
-    return found.groupBy("word", "before").agg(F.bit_or("mask").alias("mask"))
-
-
-def _masked(masks: dict[tuple[bytes, bytes], int]) -> pa.RecordBatch:
-    import xxhash
-
-    before = np.fromiter((xxhash.xxh64_intdigest(b) for _, b in masks), np.uint64, len(masks))
-    columns = [pa.array([w for w, _ in masks], pa.binary()), pa.array(before.view(np.int64)), pa.array(list(masks.values()), pa.int32())]
-    return pa.RecordBatch.from_arrays(columns, ["word", "before", "mask"])
+            for c, f, text in zip(cls, fold, batch.column(2), strict=True):
+                words = tokens(text.as_py())
+                for w in words:
+                    numbers.setdefault(w, len(numbers))
+                at = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+                held.append(((ORDINARY, TOXIC)[c][f], np.unique(at << 32 | np.r_[0, at][:-1])))
+                size += len(held[-1][1])
+                if size > MOST_PAIRS:
+                    yield from _packed(held, list(numbers))
+                    numbers, held, size = {b"": 0}, [], 0
+        yield from _packed(held, list(numbers))
+
+    found = picked.mapInArrow(lean(run), "word binary, part int, pairs array<bigint>").repartition("word", "part")
+    pair = found.select("word", "part", F.explode("pairs").alias("pair"))
+    low = F.lit(15).cast("long")
+    pair = pair.select("word", "part", F.col("pair").bitwiseAND(F.lit(-16).cast("long")).alias("before"), F.col("pair").bitwiseAND(low).cast("int").alias("mask"))
+    return pair.groupBy("word", "part", "before").agg(F.bit_or("mask").alias("mask")).drop("part")
+
+
+def _packed(held: list[tuple[int, np.ndarray]], words: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """``word, part, pairs`` of the pairs ``held`` for each bit; a pair is the hash of the word before over its bits."""
+    if not sum(len(k) for _, k in held):
+        return
+    key = np.concatenate([k for _, k in held])
+    bits = np.repeat(np.array([bit for bit, _ in held], np.uint64), [len(k) for _, k in held])
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    mask, key = np.bitwise_or.reduceat(bits[order], first), key[first]
+    digest = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    word, pair = key >> 32, digest[key & 2**32 - 1] & ~np.uint64(15) | mask
+    order = np.lexsort((pair, word))
+    word, pair = word[order], pair[order]
+    part = pair >> np.uint64(60)
+    first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (part[1:] != part[:-1])])
+    ends = np.r_[first[1:], len(pair)]
+    for i in range(0, len(first), 1 << 15):
+        here = slice(i, i + (1 << 15))
+        a, b = first[here][0], ends[here][-1]
+        lists = pa.ListArray.from_arrays(np.r_[first[here] - a, b - a].astype(np.int32), pa.array(pair[a:b].view(np.int64)))
+        named = pa.array([words[w] for w in word[first[here]].tolist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([named, pa.array(part[first[here]].astype(np.int32)), lists], ["word", "part", "pairs"])
 
 
 def log_loss(weights: np.ndarray, x: np.ndarray, y: np.ndarray, times: np.ndarray) -> float:

@@ -305,3 +305,14 @@ def test_toxicity_discount_is_the_one_that_explains_the_labels(spark):
     weights = np.array([0.1, 1.0, -0.5])
     p = 1 / (1 + np.exp(-np.array([0.1, 1.6])))
     assert abs(toxicity.log_loss(weights, x, y, np.array([3.0, 1.0])) + 3 * np.log(1 - p[0]) + np.log(p[1])) < 1e-12
+
+
+def test_word_pairs_are_sent_as_lists():
+    """A frequent word takes sixteen rows of a task's pairs at most, and no pair is lost or told wrongly."""
+    words = [b"", b"the", *(b"w%d" % i for i in range(1000))]
+    key = np.array([1 << 32 | b for b in range(2, 1002)] + [5 << 32 | 1])
+    got = [r for batch in toxicity._packed([(1, key), (8, key[:500])], words) for r in batch.to_pylist()]
+    assert 2 <= len(got) <= 17 and {r["word"] for r in got} == {b"the", b"w3"}
+    told = {(r["word"], p & 2**64 - 16): p & 15 for r in got for p in r["pairs"]}
+    want = {(b"the", toxicity.xxhash.xxh64_intdigest(w) & 2**64 - 16): 9 if i < 500 else 1 for i, w in enumerate(words[2:])}
+    assert told == want | {(b"w3", toxicity.xxhash.xxh64_intdigest(b"the") & 2**64 - 16): 1}
