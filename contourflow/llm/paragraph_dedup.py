@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +128,17 @@ def _colliding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"key": both[keep, 0], "uid": both[keep, 1]})
 
 
+def _stretches(raw: bytes, spans: Sequence, least: int) -> int:
+    """How many runs of ``spans(start, end)`` with no words between them have ``least`` words or more."""
+    joined: list[list[int]] = []
+    for start, end in sorted((x["start"], x["end"]) for x in spans):
+        if joined and (start <= joined[-1][1] or not raw[joined[-1][1] : start].strip()):
+            joined[-1][1] = max(joined[-1][1], end)
+        else:
+            joined.append([start, end])
+    return sum(len(raw[a:b].split()) >= least for a, b in joined)
+
+
 def similar(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of shingle sets with Jaccard similarity >= threshold (``None``: pairs i < j within ``a``).
 
@@ -171,7 +182,9 @@ def paragraph_duplicates(
     any document, or twice in one paragraph without overlap) are removed after that, whole, up to their first
     and last common word; the first occurrence stays. This is exact: equal runs have equal seeds (the least
     hash of the runs of half the length inside), so only runs whose seed occurs twice are hashed and grouped.
-    Paragraphs that hold one count in ``n_linked``.
+    Paragraphs that hold one count in ``n_linked``. ``n_linked`` counts short lines like long ones, so a column
+    ``n_passages`` follows: the stretches of ``passage`` words or more that consist of nothing but such repeated
+    paragraphs and runs next to each other, the first occurrences included.
 
     Bands are tuned for a recall of at least ``recall`` per link at the threshold; colliding pieces are
     verified exactly. Equal pieces are one class and link without a search. Buckets of very many different
@@ -312,7 +325,7 @@ def paragraph_duplicates(
         .mapInArrow(verify, "a long, b long")
     )
     def repeated(labelled: DataFrame, groups: DataFrame) -> DataFrame:
-        """``k1, k2, start, gone`` for the passages that repeat in paragraphs that stay; ``gone`` is null for the first."""
+        """``k1, k2, start, span`` for the passages that repeat in paragraphs that stay; those of first places are not dropped."""
         # a seed that stands twice in one paragraph has a second owner, the complement of the first
         owned = scanned.select("uid", F.explode("seeds").alias("key")).union(
             scanned.select((-1 - F.col("uid")).alias("uid"), F.explode("again").alias("key"))
@@ -383,11 +396,12 @@ def paragraph_duplicates(
                 yield pa.RecordBatch.from_pydict(dict(zip(("k1", "k2", "start", "s", "e"), both.T.copy(), strict=True)))
 
         merged = later.mapInArrow(merge, "k1 long, k2 long, start long, s long, e long")
-        gone = F.when(F.col("s") >= 0, F.struct(F.col("s").alias("start"), F.col("e").alias("end")))
-        merged = merged.select("k1", "k2", "start", gone.alias("gone"))
+        gone = F.when(F.col("s") >= 0, F.struct(F.col("s").alias("start"), F.col("e").alias("end"), F.lit(True).alias("drop")))
+        merged = merged.select("k1", "k2", "start", gone.alias("span"))
         # every run here occurs again, so the paragraph of its first place holds one, too
-        firsts = heads.select("h.k1", "h.k2", "h.start").distinct()
-        return merged.unionByName(firsts, allowMissingColumns=True)
+        firsts = heads.groupBy("h.k1", "h.k2", "h.start").agg(F.min("h.s").alias("s"), F.max("h.e").alias("e"))
+        stays = F.struct(F.col("s").alias("start"), F.col("e").alias("end"), F.lit(False).alias("drop"))
+        return merged.union(firsts.select("k1", "k2", "start", stays.alias("span")))
 
     roots = components(links)
     labelled = pieces_of.join(roots, pieces_of.uid == roots.node, "left").select(
@@ -396,24 +410,24 @@ def paragraph_duplicates(
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "start", "k1", "k2")
     groups = labelled.groupBy("root").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1")
     doubled = labelled.join(groups, "root").withColumn("drop", ~rank.eqNullSafe(F.col("first")))
-    marks = doubled.select("k1", "k2", "start", F.when(F.col("drop"), F.struct("start", "end")).alias("gone"))
+    marks = doubled.select("k1", "k2", "start", F.struct("start", "end", "drop").alias("span"))
     if passage:
         marks = marks.union(repeated(labelled, groups))
-    per_doc = marks.groupBy("k1", "k2").agg(F.size(F.collect_set("start")).cast("long").alias("linked"), F.collect_set("gone").alias("drops"))
+    per_doc = marks.groupBy("k1", "k2").agg(F.size(F.collect_set("start")).cast("long").alias("linked"), F.collect_set("span").alias("spans"))
     counts = pieces_of.groupBy("k1", "k2").agg(F.countDistinct("start").alias("n_paragraphs"))
     per_doc = counts.join(per_doc, ["k1", "k2"], "left")
     full = packed.join(per_doc, ["k1", "k2"], "left").select(
-        "doc_id", "z", F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"), F.coalesce("linked", F.lit(0)).alias("linked"), "drops"
+        "doc_id", "z", F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"), F.coalesce("linked", F.lit(0)).alias("linked"), "spans"
     )
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "text": []}
-            for z, drops in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "n_passages": [], "text": []}
+            for z, spans in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 raw = unpack.decompress(z)
                 runs: list[list[int]] = []
-                for x in sorted(drops or [], key=lambda x: x["start"]):
+                for x in sorted((x for x in spans or () if x["drop"]), key=lambda x: x["start"]):
                     if runs and x["start"] <= runs[-1][1]:
                         runs[-1][1] = max(runs[-1][1], x["end"])
                     else:
@@ -424,14 +438,17 @@ def paragraph_duplicates(
                 out["n_removed"].append(len(raw) - len(kept))
                 out["n_spans"].append(len(runs))
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+                out["n_passages"].append(_stretches(raw, spans or (), passage) if passage else None)
                 out["text"].append(kept.decode("utf-8", "ignore") if with_text else None)
             got = {"doc_id": batch.column(0), "n_paragraphs": batch.column(2), "n_linked": batch.column(3)} | out
             if not with_text:
                 del got["text"]
+            if not passage:
+                del got["n_passages"]
             kinds = {"kept_sha256": pa.string(), "text": pa.string()}
             yield pa.RecordBatch.from_arrays(
                 [v if isinstance(v, pa.Array) else pa.array(v, kinds.get(c, pa.int64())) for c, v in got.items()], list(got)
             )
 
-    schema = "doc_id long, n_paragraphs long, n_linked long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema = "doc_id long, n_paragraphs long, n_linked long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", n_passages long" * bool(passage)
     return full.mapInArrow(remove, schema + ", text string" * with_text)

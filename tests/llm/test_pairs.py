@@ -303,3 +303,19 @@ def test_one_row_repeated_very_often(spark):
     n = len(text)
     assert got.where(f"doc_id = 1 and n_bytes = {n} and n_removed = {n} and n_spans = 1").count() == 10_000
     assert got.where("doc_id = 2").first()["n_removed"] == 300 and got.where("doc_id > 2 and n_removed = 0 and n_bytes = 0").count() == 2
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_long_passages_are_told_from_short_lines(spark, monkeypatch, most):
+    """Lines that repeat are linked, whatever their length; only stretches of 50 repeated words count as passages."""
+    monkeypatch.setattr(paragraph_dedup, "MOST_BROADCAST", most)
+    fresh = iter(f"w{i}" for i in range(10**6))
+    some = lambda n: " ".join(next(fresh) for _ in range(n))
+    inside, whole, lines = some(55), some(60), "\n \n".join(some(20) for _ in range(3))
+    rows = [(0, f"{some(30)}\nall rights reserved\n{some(70)}"), (1, f"all rights reserved\n{some(49)}"), (2, f"{some(30)} {inside} {some(80)}"),
+            (3, f"{some(9)}\n{some(70)} {inside} {some(90)}"), (4, f"{whole}\n{some(20)}"), (5, f"{some(20)}\n{whole}\n{some(4)}"),
+            (6, f"{some(8)}\n{lines}\n{some(60)}"), (7, f"{lines}\n{some(6)}"), (8, some(300)), (9, None)]
+    got = paragraph_dedup.paragraph_duplicates(docs(spark, rows), passage=50).toPandas().set_index("doc_id")
+    assert got["n_passages"].to_dict() == {i: int(2 <= i <= 7) for i in range(10)}
+    assert got["n_linked"].to_dict() == {0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 3, 7: 3, 8: 0, 9: 0}
+    assert "n_passages" not in paragraph_dedup.paragraph_duplicates(docs(spark, rows)).columns
