@@ -26,6 +26,8 @@ MOST_WORDS = 400_000
 #: Bits of an id.
 ID_BITS = 17
 NONE = 1 << ID_BITS
+#: Bits of a byte's place in a word that is folded.
+BYTE_BITS = 6
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -79,8 +81,11 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 def encode_word(word: Column, offsets: Column, entries: Column) -> Column:
     """The ids of one word, given as the ids of its bytes: ranked merges folded over the array.
 
-    The fold's state has a long for each piece: the rank of the piece joined with the next, above the
-    piece's id. Each step joins the leftmost pair of lowest rank and looks up the two ranks that change.
+    The fold's state has a long for each piece: the rank of the piece joined with the next, above the piece's first
+    byte, above its id. So the least long is the leftmost pair of lowest rank. Before them stands a greater long with
+    a bit for each byte that begins a piece; those up to a piece count its place, so that no search is needed
+    (``array_position`` leaves its loop by an exception). Each step joins the least pair and looks up the two ranks
+    that change.
     """
     low_bits = F.lit(NONE - 1).cast("long")
     none = F.lit(NONE).cast("long")
@@ -90,34 +95,48 @@ def encode_word(word: Column, offsets: Column, entries: Column) -> Column:
         # differs from a in its low bits only if it is an entry of a
         return F.least(none, entry.bitwiseXOR(F.shiftleft(a, ID_BITS)).bitwiseAND(F.lit((1 << 62) - 1)))
 
-    def pack(r: Column, piece: Column) -> Column:
-        return F.shiftleft(r, ID_BITS).bitwiseOR(piece)
+    def pack(r: Column, rest: Column) -> Column:
+        return F.shiftleft(r, BYTE_BITS + ID_BITS).bitwiseOR(rest)
+
+    def byte(piece: Column) -> Column:
+        return F.shiftright(piece, ID_BITS).bitwiseAND(F.lit((1 << BYTE_BITS) - 1)).cast("int")
+
+    def bit(of: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), of)
 
     def start(x: Column, i: Column) -> Column:
-        after = F.get(word, i + 1)
-        return F.when(after.isNull(), pack(none, x)).otherwise(pack(rank(x, after), x))
+        after, rest = F.get(word, i + 1), F.shiftleft(i.cast("long"), ID_BITS).bitwiseOR(x)
+        return F.when(after.isNull(), pack(none, rest)).otherwise(pack(rank(x, after), rest))
 
-    def merge(state: Column, low: Column) -> Column:
-        place = F.array_position(F.transform(state, lambda x: F.shiftright(x, ID_BITS)), low).cast("int")
+    def merge(state: Column, least: Column) -> Column:
+        begins = F.get(state, F.lit(0))
 
         def join(i: Column) -> Column:
-            after = F.get(state, i + 1)
-            new = pack(F.when(after.isNull(), none).otherwise(rank(low, after.bitwiseAND(low_bits))), low)
-            tail = F.slice(state, i + 2, F.size(state))
-            before = F.get(state, i - 2).bitwiseAND(low_bits)
-            return F.when(i == 1, F.concat(F.array(new), tail)).otherwise(
-                F.concat(F.slice(state, F.lit(1), F.greatest(i - 2, F.lit(0))), F.array(pack(rank(before, low), before), new), tail)
+            low, after, before = F.shiftright(least, BYTE_BITS + ID_BITS), F.get(state, i + 2), F.get(state, i - 1)
+            joined = F.when(after.isNull(), none).otherwise(rank(low, after.bitwiseAND(low_bits)))
+            new = pack(joined, least.bitwiseAND(F.lit((1 << BYTE_BITS) - 1 << ID_BITS)).bitwiseOR(low))
+            left = begins.bitwiseXOR(bit(byte(F.get(state, i + 1))))
+            tail = F.slice(state, i + 3, F.size(state))
+            rest = before.bitwiseAND(F.lit((1 << BYTE_BITS + ID_BITS) - 1))
+            return F.when(i == 1, F.concat(F.array(left, new), tail)).otherwise(
+                F.concat(
+                    F.array(left),
+                    F.slice(state, F.lit(2), F.greatest(i - 2, F.lit(0))),
+                    F.array(pack(rank(before.bitwiseAND(low_bits), low), rest), new),
+                    tail,
+                )
             )
 
-        return _let(place, join)
+        return _let(F.bit_count(begins.bitwiseAND(bit(byte(least) + 1) - 1)), join)
 
     def step(state: Column, _: Column) -> Column:
-        low = F.shiftright(F.array_min(state), ID_BITS)
-        return _let(low, lambda low: F.when(low == none, state).otherwise(merge(state, low)))
+        least = F.array_min(state)
+        return _let(least, lambda least: F.when(F.shiftright(least, BYTE_BITS + ID_BITS) == none, state).otherwise(merge(state, least)))
 
     rounds = F.sequence(F.lit(1), F.greatest(F.size(word) - 1, F.lit(1)))
-    done = F.aggregate(rounds, F.transform(word, start), step)
-    return F.transform(done, lambda x: x.bitwiseAND(low_bits).cast("int"))
+    begins = (bit(F.size(word)) - 1).bitwiseOR(F.lit(1 << 62))
+    done = F.aggregate(rounds, F.concat(F.array(begins), F.transform(word, start)), step)
+    return F.transform(F.slice(done, F.lit(2), F.size(word)), lambda x: x.bitwiseAND(low_bits).cast("int"))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:

@@ -316,3 +316,17 @@ def test_word_pairs_are_sent_as_lists():
     told = {(r["word"], p & 2**64 - 16): p & 15 for r in got for p in r["pairs"]}
     want = {(b"the", toxicity.xxhash.xxh64_intdigest(w) & 2**64 - 16): 9 if i < 500 else 1 for i, w in enumerate(words[2:])}
     assert told == want | {(b"w3", toxicity.xxhash.xxh64_intdigest(b"the") & 2**64 - 16): 1}
+
+
+def test_fold_finds_places_without_a_search(spark):
+    """Words of every foldable length, with many equal pairs, are merged leftmost first; no position is searched for."""
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng = np.random.default_rng(31)
+    words = [bytes(rng.choice(list(b"aeht"), n).tolist()) for n in range(1, bpe.LONGEST_FOLD + 1)] + [b"a" * 48, b"ab" * 24, b"\xff" * 48]
+    words = [w for w in words if w not in ranks]  # a token is not folded
+    rows = [(i, [ranks[bytes([x])] for x in w]) for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "i int, word array<bigint>")
+    table = bpe.rank_map(ranks)
+    folded = df.select("i", bpe._let(table, lambda t: bpe.encode_word(bpe.F.col("word"), t["o"], t["e"])).alias("ids"))
+    assert "array_position" not in folded._jdf.queryExecution().analyzed().toString()
+    assert {r["i"]: r["ids"] for r in folded.collect()} == {i: bpe.merge_long(w, ranks) for i, w in enumerate(words)}
