@@ -22,6 +22,8 @@ BATCH_BYTES = 1 << 16
 #: Bytes of text for each bucket of suffixes, at most about; neighbouring windows of a suffix that go to one bin.
 BUCKET_BYTES = 64 << 20
 TOGETHER = 16
+#: Windows whose digests are held as objects of their own.
+DIGESTS = 1 << 14
 _TOP = np.uint64(2**64 - 1)
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(20240229).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -272,8 +274,11 @@ def find_repeats(keyed: DataFrame, length: int) -> DataFrame:
         if len(row):
             # with d, so that one window is not met again from another suffix inside it
             # one at a time: all windows of a bucket at once are a hundred times its bytes
-            window = (j.to_bytes(4, "little") + left[i][:j][::-1] + right[i][: length - j] for i, j in zip(row.tolist(), d.tolist(), strict=True))
-            digest = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in window]), "<i8").reshape(-1, 2)
+            digest = np.empty((len(row), 2), "<i8")
+            for a in range(0, len(row), DIGESTS):
+                window = (j.to_bytes(4, "little") + left[i][:j][::-1] + right[i][: length - j] for i, j in zip(row[a : a + DIGESTS].tolist(), d[a : a + DIGESTS].tolist(), strict=True))
+                some = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in window]), "<i8")
+                digest[a : a + DIGESTS] = some.reshape(-1, 2)
             known = repeat[row, d].astype(np.int64)
             both = np.column_stack([digest, k1[row], k2[row], pos[row] - d, known])
             # neighbouring windows share a core, which deals them out by content
