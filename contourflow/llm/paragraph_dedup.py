@@ -106,7 +106,7 @@ def passage_seeds(h: np.ndarray, passage: int) -> np.ndarray:
 
 
 def _distinct_seeds(seed: np.ndarray, inside: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct seeds of a paragraph's passages, and those of them that stand at several places."""
+    """The distinct seeds of a text's passages, and those of them that stand at several places."""
     at = np.flatnonzero(np.r_[True, seed[1:] != seed[:-1]])
     length = np.diff(np.r_[at, len(seed)])
     value, n = np.unique(seed[at], return_counts=True)
@@ -128,6 +128,25 @@ def _colliding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"key": both[keep, 0], "uid": both[keep, 1]})
 
 
+_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
+
+
+def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The first byte of each word of a text, and the byte after its last."""
+    edge = np.diff(_SPACE[np.frombuffer(b" " + raw + b" ", np.uint8)].astype(np.int8))
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
+def _touched(raw: bytes, spans: Sequence) -> int:
+    """How many paragraphs share words with ``spans(start, end)``."""
+    first, last = np.array([x[2:] for x in pieces(raw)[1]], np.int64).reshape(-1, 2).T
+    hit = np.zeros(len(first) + 1, np.int64)
+    for x in spans:
+        hit[np.searchsorted(last, x["start"], "right")] += 1
+        hit[np.searchsorted(first, x["end"])] -= 1
+    return int((np.cumsum(hit[:-1]) > 0).sum())
+
+
 def _stretches(raw: bytes, spans: Sequence, least: int) -> int:
     """How many runs of ``spans(start, end)`` with no words between them have ``least`` words or more."""
     joined: list[list[int]] = []
@@ -179,10 +198,12 @@ def paragraph_duplicates(
     bytes in ``n_spans`` runs; ``n_linked`` counts the row's pieces in components of several occurrences.
 
     With ``passage``, runs of that many words or more that occur again inside the paragraphs that stay (in
-    any document, or twice in one paragraph without overlap) are removed after that, whole, up to their first
-    and last common word; the first occurrence stays. This is exact: equal runs have equal seeds (the least
-    hash of the runs of half the length inside), so only runs whose seed occurs twice are hashed and grouped.
-    Paragraphs that hold one count in ``n_linked``. ``n_linked`` counts short lines like long ones, so a column
+    any document, or twice in one text without overlap) are removed after that, whole, up to their first
+    and last common word; the first occurrence stays. Runs are words in a row of the whole text, so they may cross
+    line feeds, which need not stand at the same words in every occurrence. This is exact: equal runs have equal
+    seeds (the least hash of the runs of half the length inside), so only runs whose seed occurs twice are hashed
+    and grouped. A run that a removed paragraph takes part of is not removed, but counted. Paragraphs that hold words
+    of a run count in ``n_linked``. ``n_linked`` counts short lines like long ones, so a column
     ``n_passages`` follows: the stretches of ``passage`` words or more that consist of nothing but such repeated
     paragraphs and runs next to each other, the first occurrences included.
 
@@ -201,23 +222,24 @@ def paragraph_duplicates(
         rows_of: dict[str, list] = {c: [] for c in names}
         words: list[bytes] = []
         fresh: list[tuple[int, int, int]] = []  # row, first word, word after the last
+        texts: list[tuple[int, int, int]] = []  # the same for a text, in the row of its first paragraph
 
         def close() -> pa.RecordBatch:
             n = len(rows_of["uid"])
             count = np.zeros(n + 1, np.int32)
             keys = np.empty((0, bands), np.uint64)
             at = np.array(fresh, np.int64).reshape(-1, 3)
+            h = word_hashes(words)
             if len(at):
-                h = word_hashes(words)
                 keys = band_keys(run_hashes(h, shingle), at[:, 1], at[:, 2] - shingle + 1, bands, rows)
                 count[at[:, 0] + 1] = bands
             lists = [pa.ListArray.from_arrays(np.cumsum(count, dtype=np.int32), pa.array(keys.ravel().view(np.int64)))]
             if passage:
                 found: list[list[np.ndarray]] = [[], []]
                 counts = np.zeros((2, n + 1), np.int32)
-                if len(at):
+                if texts:
                     seed = passage_seeds(h, passage)
-                    for row, a, b in at[at[:, 2] - at[:, 1] >= passage].tolist():
+                    for row, a, b in texts:
                         for k, v in enumerate(_distinct_seeds(seed[a : b - passage + 1], passage - passage // 2 + 1)):
                             found[k].append(v)
                             counts[k, row + 1] = len(v)
@@ -225,7 +247,7 @@ def paragraph_duplicates(
                     flat = np.concatenate([np.empty(0, np.uint64), *found[k]]).view(np.int64)
                     lists.append(pa.ListArray.from_arrays(np.cumsum(counts[k], dtype=np.int32), pa.array(flat)))
             arrays = [*(pa.array(v, pa.int64()) for v in rows_of.values()), *lists]
-            for v in (*rows_of.values(), words, fresh):
+            for v in (*rows_of.values(), words, fresh, texts):
                 v.clear()
             return pa.RecordBatch.from_arrays(arrays, [*names, "keys", "seeds", "again"][: len(arrays)])
 
@@ -234,6 +256,8 @@ def paragraph_duplicates(
                 part, found = pieces((text or "").encode("utf-8", "surrogatepass"))
                 base = len(words)
                 words += part
+                if passage and len(part) >= passage:
+                    texts.append((len(rows_of["uid"]), base, len(words)))
                 for a, b, start, end in found:
                     uid = xxhash.xxh64_intdigest(b" ".join(part[a:b]), 3) >> 1
                     if uid not in seen:
@@ -324,84 +348,77 @@ def paragraph_duplicates(
         .sortWithinPartitions("key", "i", "j")
         .mapInArrow(verify, "a long, b long")
     )
-    def repeated(labelled: DataFrame, groups: DataFrame) -> DataFrame:
-        """``k1, k2, start, span`` for the passages that repeat in paragraphs that stay; those of first places are not dropped."""
-        # a seed that stands twice in one paragraph has a second owner, the complement of the first
-        owned = scanned.select("uid", F.explode("seeds").alias("key")).union(
-            scanned.select((-1 - F.col("uid")).alias("uid"), F.explode("again").alias("key"))
+    def repeated(marked: DataFrame) -> DataFrame:
+        """``k1, k2, span`` for the passages that repeat in paragraphs that stay; those of first places are not dropped."""
+        owner = F.shiftrightunsigned(F.xxhash64("k1", "k2"), 1)
+        # a seed that stands twice in one text has a second owner, the complement of the first
+        owned = scanned.select(owner.alias("uid"), F.explode("seeds").alias("key")).union(
+            scanned.select((-1 - owner).alias("uid"), F.explode("again").alias("key"))
         )
         owned = stored(owned.repartitionByRange(parts, "key", "uid").mapInArrow(_colliding, "key long, uid long").distinct(), "seeds")
         owned = owned.withColumn("twin", F.col("uid") < 0).withColumn("uid", F.greatest("uid", -1 - F.col("uid")))
-        at = labelled.join(owned.select("uid").distinct(), "uid", "left_semi").join(groups.select("root", "first"), "root", "left")
-        at = at.where(F.col("first").isNull() | rank.eqNullSafe(F.col("first"))).select("doc_id", "k1", "k2", "start", "end", "uid")
-        at = stored(at.distinct(), "places")
-        # copies of a paragraph that stays are dropped, so a class has one place, or those of rows repeated as a whole
-        owned = owned.join(at.select("uid").distinct(), "uid", "left_semi")
+        # of a text whose paragraphs all go, nothing is asked
+        at = marked.where(F.size("gone") < F.col("n_paragraphs")).select("k1", "k2", "gone", owner.alias("uid"))
+        owned = owned.join(at.select("uid"), "uid", "left_semi")
         several = owned.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         seeds = owned.where("not twin").join(several, "key").groupBy("uid").agg(F.collect_set("key").alias("seeds"))
-        asked = at.join(seeds, "uid").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end", "seeds")).alias("at"))
+        asked = at.join(seeds, "uid").select("k1", "k2", "gone", "seeds")
 
         def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unpack = zstandard.ZstdDecompressor()
+            last = None
             for batch in batches:
-                for z, doc, k1, k2, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    raw = unpack.decompress(z) if places else b""
-                    for x in places or ():
-                        line = raw[x["start"] : x["end"]].lower()
-                        words = line.split()
-                        h = word_hashes(words)
-                        seed = passage_seeds(h, passage).view(np.int64)
-                        hit = np.flatnonzero(np.isin(seed, np.array(x["seeds"], np.int64)))
-                        size = np.array([len(w) for w in words], np.int64)
-                        at, pos = np.empty(len(words), np.int64), 0
-                        for i, w in enumerate(words):
-                            at[i] = pos = line.index(w, pos)
-                            pos += len(w)
-                        s, e = x["start"] + at[hit], x["start"] + (at + size)[hit + passage - 1]
-                        same = {"doc_id": doc, "k1": k1, "k2": k2, "start": x["start"]}
+                for z, doc, k1, k2, gone, seeds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if seeds is None or (k1, k2) == last:
+                        continue
+                    last = k1, k2
+                    raw = unpack.decompress(z)
+                    words, found = pieces(raw)
+                    dropped, out = np.zeros(len(words) + 1, np.int64), set(gone)
+                    for a, b, start, _ in found:
+                        dropped[a + 1 : b + 1] = start in out
+                    dropped = np.cumsum(dropped)
+                    lost = dropped[passage:] - dropped[:-passage]
+                    h = word_hashes(words)
+                    seed = passage_seeds(h, passage).view(np.int64)
+                    hit = np.flatnonzero((lost < passage) & np.isin(seed, np.array(seeds, np.int64)))
+                    if len(hit):
+                        first, after = word_places(raw)
+                        same = {"doc_id": doc, "k1": k1, "k2": k2}
                         columns = {c: pa.array([v] * len(hit), pa.int64()) for c, v in same.items()}
-                        yield pa.RecordBatch.from_pydict(
-                            {"seed": seed[hit], "run": run_hashes(h, passage).view(np.int64)[hit]} | columns | {"s": s, "e": e}
-                        )
+                        columns |= {"s": first[hit], "e": after[hit + passage - 1], "whole": lost[hit] == 0}
+                        yield pa.RecordBatch.from_pydict({"seed": seed[hit], "run": run_hashes(h, passage).view(np.int64)[hit]} | columns)
 
-        schema = "seed long, run long, doc_id long, k1 long, k2 long, start long, s long, e long"
+        schema = "seed long, run long, doc_id long, k1 long, k2 long, s long, e long, whole boolean"
         # a left join on the same table as the last one's, so that the texts are dealt once for both
-        found = packed.join(asked, ["k1", "k2"], "left").select("z", "doc_id", "k1", "k2", "at").mapInArrow(runs, schema)
+        found = packed.join(asked, ["k1", "k2"], "left").select("z", "doc_id", "k1", "k2", "gone", "seeds").mapInArrow(runs, schema)
         found = stored(found, "runs")
-        place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "s", "k1", "k2", "start", "e")
+        place = F.when(F.col("whole"), F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "s", "k1", "k2", "e"))
         heads = found.groupBy("seed", "run").agg(F.min(place).alias("h"), F.count("*").alias("n")).where("n > 1").select("seed", "run", "h")
         heads = stored(heads, "heads")
         few = heads.count() <= MOST_BROADCAST
         met = found.join(F.broadcast(heads) if few else heads, ["seed", "run"])
         home = (F.col("k1") == F.col("h.k1")) & (F.col("k2") == F.col("h.k2"))
-        later = met.where(~(home & (F.col("s") == F.col("h.s"))))
-        later = later.select("k1", "k2", "start", "s", "e", (home & (F.col("s") < F.col("h.e"))).alias("stays"))
+        # those that overlap the first place stay with it
+        met = met.select("k1", "k2", "s", "e", (F.col("whole") & ~(home & (F.col("s") < F.col("h.e")))).alias("drop"))
         if not few:
             # the broadcast leaves a text's runs together; the shuffled join scatters them
-            later = later.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "start", "s")
+            met = met.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "drop", "s")
 
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Neighbouring runs as one, and every place once with ``s`` -1."""
+            """Neighbouring runs as one."""
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                v = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(6)])
-                gone = v[v[:, 5] == 0, :5]
-                if len(gone):
-                    gone = gone[np.lexsort(gone.T[::-1])]
-                    cut = np.r_[True, (gone[1:, :3] != gone[:-1, :3]).any(axis=1) | (gone[1:, 3] > gone[:-1, 4])]
-                    gone = np.column_stack([gone[cut, :4], gone[np.r_[cut[1:], True], 4]])
-                seen = np.unique(v[:, :3], axis=0)
-                both = np.concatenate([gone, np.column_stack([seen, np.full((len(seen), 2), -1)])])
-                yield pa.RecordBatch.from_pydict(dict(zip(("k1", "k2", "start", "s", "e"), both.T.copy(), strict=True)))
-
-        merged = later.mapInArrow(merge, "k1 long, k2 long, start long, s long, e long")
-        gone = F.when(F.col("s") >= 0, F.struct(F.col("s").alias("start"), F.col("e").alias("end"), F.lit(True).alias("drop")))
-        merged = merged.select("k1", "k2", "start", gone.alias("span"))
-        # every run here occurs again, so the paragraph of its first place holds one, too
-        firsts = heads.groupBy("h.k1", "h.k2", "h.start").agg(F.min("h.s").alias("s"), F.max("h.e").alias("e"))
-        stays = F.struct(F.col("s").alias("start"), F.col("e").alias("end"), F.lit(False).alias("drop"))
-        return merged.union(firsts.select("k1", "k2", "start", stays.alias("span")))
+                k1, k2, s, e, drop = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(5))
+                v = np.column_stack([k1, k2, drop, s, e])
+                v = v[np.lexsort(v.T[::-1])]
+                cut = np.r_[True, (v[1:, :3] != v[:-1, :3]).any(axis=1) | (v[1:, 3] > v[:-1, 4])]
+                v = np.column_stack([v[cut, :4], v[np.r_[cut[1:], True], 4]])
+                yield pa.RecordBatch.from_pydict(dict(zip(("k1", "k2", "drop", "s", "e"), v.T.copy(), strict=True)))
+
+        merged = met.mapInArrow(merge, "k1 long, k2 long, drop long, s long, e long")
+        return merged.select("k1", "k2", F.struct(F.col("s").alias("start"), F.col("e").alias("end"), (F.col("drop") > 0).alias("drop")).alias("span"))
 
     roots = components(links)
     labelled = pieces_of.join(roots, pieces_of.uid == roots.node, "left").select(
@@ -410,37 +427,43 @@ def paragraph_duplicates(
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "start", "k1", "k2")
     groups = labelled.groupBy("root").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1")
     doubled = labelled.join(groups, "root").withColumn("drop", ~rank.eqNullSafe(F.col("first")))
-    marks = doubled.select("k1", "k2", "start", F.struct("start", "end", "drop").alias("span"))
-    if passage:
-        marks = marks.union(repeated(labelled, groups))
-    per_doc = marks.groupBy("k1", "k2").agg(F.size(F.collect_set("start")).cast("long").alias("linked"), F.collect_set("span").alias("spans"))
+    marks = doubled.select("k1", "k2", F.struct("start", "end", "drop").alias("span"))
     counts = pieces_of.groupBy("k1", "k2").agg(F.countDistinct("start").alias("n_paragraphs"))
+    per_doc = marks.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
     per_doc = counts.join(per_doc, ["k1", "k2"], "left")
-    full = packed.join(per_doc, ["k1", "k2"], "left").select(
-        "doc_id", "z", F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"), F.coalesce("linked", F.lit(0)).alias("linked"), "spans"
-    )
+    if passage:
+        per_doc = stored(per_doc, "marks")
+        gone = F.transform(F.filter("spans", lambda x: x["drop"]), lambda x: x["start"])
+        marked = per_doc.select("k1", "k2", "n_paragraphs", F.coalesce(gone, F.array().cast("array<bigint>")).alias("gone"))
+        found = repeated(marked).groupBy("k1", "k2").agg(F.collect_set("span").alias("runs"))
+        per_doc = per_doc.join(found, ["k1", "k2"], "left")
+    else:
+        per_doc = per_doc.withColumn("runs", F.expr("cast(null as array<struct<start: bigint, end: bigint, drop: boolean>>)"))
+    full = packed.join(per_doc, ["k1", "k2"], "left").select("doc_id", "z", F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"), "spans", "runs")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "n_passages": [], "text": []}
-            for z, spans in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            out: dict[str, list] = {"n_linked": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "n_passages": [], "text": []}
+            for z, spans, more in zip(*(batch.column(c).to_pylist() for c in (1, 3, 4)), strict=True):
                 raw = unpack.decompress(z)
+                spans = (spans or []) + (more or [])
                 runs: list[list[int]] = []
-                for x in sorted((x for x in spans or () if x["drop"]), key=lambda x: x["start"]):
+                for x in sorted((x for x in spans if x["drop"]), key=lambda x: x["start"]):
                     if runs and x["start"] <= runs[-1][1]:
                         runs[-1][1] = max(runs[-1][1], x["end"])
                     else:
                         runs.append([x["start"], x["end"]])
                 edges = [0, *[x for run in runs for x in run], len(raw)]
                 kept = b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
+                out["n_linked"].append(_touched(raw, spans) if more else len(spans))
                 out["n_bytes"].append(len(raw))
                 out["n_removed"].append(len(raw) - len(kept))
                 out["n_spans"].append(len(runs))
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                out["n_passages"].append(_stretches(raw, spans or (), passage) if passage else None)
+                out["n_passages"].append(_stretches(raw, spans, passage) if passage else None)
                 out["text"].append(kept.decode("utf-8", "ignore") if with_text else None)
-            got = {"doc_id": batch.column(0), "n_paragraphs": batch.column(2), "n_linked": batch.column(3)} | out
+            got = {"doc_id": batch.column(0), "n_paragraphs": batch.column(2)} | out
             if not with_text:
                 del got["text"]
             if not passage:

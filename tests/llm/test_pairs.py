@@ -319,3 +319,41 @@ def test_long_passages_are_told_from_short_lines(spark, monkeypatch, most):
     assert got["n_passages"].to_dict() == {i: int(2 <= i <= 7) for i in range(10)}
     assert got["n_linked"].to_dict() == {0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 3, 7: 3, 8: 0, 9: 0}
     assert "n_passages" not in paragraph_dedup.paragraph_duplicates(docs(spark, rows)).columns
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_passages_across_line_feeds(spark, monkeypatch, most):
+    """Runs of 50 words are found wherever the lines of their occurrences end, and removed whole but for the first."""
+    monkeypatch.setattr(paragraph_dedup, "MOST_BROADCAST", most)
+    rng = np.random.default_rng(33)
+    fresh = iter(f"w{i}" for i in range(10**6))
+    some = lambda n: [next(fresh) for _ in range(n)]
+
+    def broken(words, every):
+        return "".join(w + ("\n" if i % every == every - 1 else " ") for i, w in enumerate(words)).strip()
+
+    rows, removed, linked, passages = [], {}, {}, {}
+
+    def add(text, gone=0, lines=0, marked=0):
+        i = len(rows)
+        rows.append((i, text))
+        removed[i], linked[i], passages[i] = gone, lines, marked
+
+    for n in (49, 50, 51, 64, 120):
+        passage, hit = some(n), n >= 50
+        add(" ".join(some(9)) + " " + broken(passage, 30) + " " + " ".join(some(70)), 0, hit * -(-n // 30), hit)
+        later = broken([w.upper() for w in passage], 17)
+        add(" ".join(some(33)) + "\n\n" + later + " " + " ".join(some(61)), hit * len(later), hit * -(-n // 17), hit)
+    line, rest = some(20), some(40)
+    add(" ".join(line) + "\n" + " ".join(some(80)), 0, 1, 0)
+    add(" ".join(some(25) + line + rest + some(30)), 0, 1, 1)
+    # its first line goes, so the run of 60 is not whole any more: it counts, but nothing else is removed
+    add(" ".join(line) + "\n" + " ".join(rest + some(30)), len(" ".join(line)), 2, 1)
+    twice = some(60)
+    text = broken(twice, 25) + " " + " ".join(some(7)) + "\n" + " ".join(some(5)) + " " + broken(twice, 40) + " " + " ".join(some(90))
+    add(text, len(" ".join(twice)), 5, 2)
+    shuffled = [rows[i] for i in rng.permutation(len(rows))]
+    got = paragraph_dedup.paragraph_duplicates(docs(spark, shuffled), passage=50).toPandas().set_index("doc_id").sort_index()
+    assert got["n_removed"].to_dict() == removed
+    assert got["n_linked"].to_dict() == linked
+    assert got["n_passages"].to_dict() == passages
