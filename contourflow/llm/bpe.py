@@ -68,14 +68,16 @@ def pair_ranks(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The arrays of :func:`pair_ranks` as a literal."""
+    """The arrays of :func:`pair_ranks` as a literal, without negative entries."""
     offset, entries = pair_ranks(ranks)
+    entries[entries < 0] = NONE << ID_BITS  # no id's
     text = json.dumps({"o": offset.tolist(), "e": entries.tolist()}, separators=(",", ":"))
     return F.from_json(F.lit(text), "struct<o: array<bigint>, e: array<bigint>>")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    # unlike the only item of a transformed array, what a fold ends with is neither copied nor asked for its type
+    return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, body)
 
 
 def encode_word(word: Column, offsets: Column, entries: Column) -> Column:
@@ -89,11 +91,11 @@ def encode_word(word: Column, offsets: Column, entries: Column) -> Column:
     """
     low_bits = F.lit(NONE - 1).cast("long")
     none = F.lit(NONE).cast("long")
+    unranked = F.lit(NONE << BYTE_BITS + ID_BITS)
 
     def rank(a: Column, b: Column) -> Column:
-        entry = F.get(entries, (F.get(offsets, a.cast("int")) + b).cast("int"))
-        # differs from a in its low bits only if it is an entry of a
-        return F.least(none, entry.bitwiseXOR(F.shiftleft(a, ID_BITS)).bitwiseAND(F.lit((1 << 62) - 1)))
+        # differs from a in its low bits only if it is an entry of a, and is NONE or more otherwise
+        return entries[offsets[a] + b].bitwiseXOR(F.shiftleft(a, ID_BITS))
 
     def pack(r: Column, rest: Column) -> Column:
         return F.shiftleft(r, BYTE_BITS + ID_BITS).bitwiseOR(rest)
@@ -116,26 +118,25 @@ def encode_word(word: Column, offsets: Column, entries: Column) -> Column:
             joined = F.when(after.isNull(), none).otherwise(rank(low, after.bitwiseAND(low_bits)))
             new = pack(joined, least.bitwiseAND(F.lit((1 << BYTE_BITS) - 1 << ID_BITS)).bitwiseOR(low))
             left = begins.bitwiseXOR(bit(byte(F.get(state, i + 1))))
-            tail = F.slice(state, i + 3, F.size(state))
             rest = before.bitwiseAND(F.lit((1 << BYTE_BITS + ID_BITS) - 1))
-            return F.when(i == 1, F.concat(F.array(left, new), tail)).otherwise(
-                F.concat(
-                    F.array(left),
-                    F.slice(state, F.lit(2), F.greatest(i - 2, F.lit(0))),
-                    F.array(pack(rank(before.bitwiseAND(low_bits), low), rest), new),
-                    tail,
-                )
-            )
+            changed = pack(rank(before.bitwiseAND(low_bits), low), rest)
+
+            def put(x: Column, k: Column) -> Column:
+                before_them = F.when(k == 0, left).when(k == i - 1, changed).otherwise(x)
+                return F.when(k > i, x).when(k == i, new).otherwise(before_them)
+
+            # slice and concat build lists on their way, which takes longer
+            return F.transform(F.array_remove(state, F.get(state, i + 1)), put)
 
         return _let(F.bit_count(begins.bitwiseAND(bit(byte(least) + 1) - 1)), join)
 
     def step(state: Column, _: Column) -> Column:
         least = F.array_min(state)
-        return _let(least, lambda least: F.when(F.shiftright(least, BYTE_BITS + ID_BITS) == none, state).otherwise(merge(state, least)))
+        return _let(least, lambda least: F.when(least >= unranked, state).otherwise(merge(state, least)))
 
     rounds = F.sequence(F.lit(1), F.greatest(F.size(word) - 1, F.lit(1)))
     begins = (bit(F.size(word)) - 1).bitwiseOR(F.lit(1 << 62))
-    done = F.aggregate(rounds, F.concat(F.array(begins), F.transform(word, start)), step)
+    done = F.aggregate(rounds, F.flatten(F.array(F.array(begins), F.transform(word, start))), step)
     return F.transform(F.slice(done, F.lit(2), F.size(word)), lambda x: x.bitwiseAND(low_bits).cast("int"))
 
 
@@ -292,16 +293,15 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
                 names = list(out) if with_ids else list(out)[:-1]
                 yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in zip(names, kinds, strict=False)], names)
 
-    def encode(table: Column) -> Column:
+    def encode(offsets: Column, entries: Column) -> Column:
         none = F.array().cast("array<int>")
-        word = lambda w: F.when(F.size(w) == 0, none).otherwise(encode_word(w, table["o"], table["e"]))
-        return F.transform("words", word)
+        return F.transform("words", lambda w: F.when(F.size(w) == 0, none).otherwise(encode_word(w, offsets, entries)))
 
     split_schema = "epoch int, words array<array<bigint>>, long_ids array<binary>, docs binary, doc_id array<bigint>, ends array<bigint>"
     out_schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     encoded = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(split), split_schema).select(
         "epoch",
-        _let(rank_map(ranks), encode).alias("ids"),
+        _let(rank_map(ranks), lambda table: _let(table["o"], lambda o: _let(table["e"], lambda e: encode(o, e)))).alias("ids"),
         "long_ids",
         "docs",
         "doc_id",

@@ -330,3 +330,19 @@ def test_fold_finds_places_without_a_search(spark):
     folded = df.select("i", bpe._let(table, lambda t: bpe.encode_word(bpe.F.col("word"), t["o"], t["e"])).alias("ids"))
     assert "array_position" not in folded._jdf.queryExecution().analyzed().toString()
     assert {r["i"]: r["ids"] for r in folded.collect()} == {i: bpe.merge_long(w, ranks) for i, w in enumerate(words)}
+
+
+def test_fold_concatenates_nothing(spark):
+    """A step of the fold changes its array in place of cutting and joining it; pairs without a rank stay apart."""
+    ranks = bpe.load_ranks(PATH)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(41)
+    words = [bytes(rng.integers(0, 256, n).astype(np.uint8)) for n in range(2, bpe.LONGEST_FOLD + 1)]
+    words += [" erthtion".encode() * k for k in (1, 2, 5)] + ["éèçßñ".encode() * 4, b"\x00\xff" * 20]
+    rows = [(i, [ranks[bytes([x])] for x in w]) for i, w in enumerate(words) if w not in ranks]
+    table = bpe.rank_map(ranks)
+    df = spark.createDataFrame(rows, "i int, word array<bigint>")
+    folded = df.select("i", bpe._let(table, lambda t: bpe.encode_word(bpe.F.col("word"), t["o"], t["e"])).alias("ids"))
+    plan = folded._jdf.queryExecution().analyzed().toString()
+    assert "concat(" not in plan and plan.count("slice(") == 1
+    assert {r["i"]: r["ids"] for r in folded.collect()} == {i: enc._encode_single_piece(words[i]) for i, _ in rows}
