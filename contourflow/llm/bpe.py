@@ -40,8 +40,9 @@ def pair_ranks(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """The rank of every joinable pair of ids, as rows laid over each other in one array.
 
     Of ids a and b the entry at ``offset[a] + b`` is ``a << ID_BITS | rank`` if they join, else another
-    pair's or -1. Longer rows are laid first, each at the first of a fixed pseudo-random series of places
-    where none of its entries is taken; the array grows until all rows have one.
+    pair's or -1. Longer rows are laid first, each at the first place where none of its entries is taken; of rows
+    of one length each is laid after the one before it. Plans hold the arrays as text and every task holds them as
+    objects, so they must be short: three entries for a pair of the 50k vocabulary.
     """
     rows: dict[int, list[tuple[int, int]]] = {}
     for token, rank in ranks.items():
@@ -50,21 +51,27 @@ def pair_ranks(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
             if left is not None and right is not None:
                 rows.setdefault(left, []).append((right, rank))
     size = max(ranks.values()) + 1
-    order = sorted(rows, key=lambda a: (-len(rows[a]), a))
-    room = size + 4 * sum(map(len, rows.values()))
-    while True:
-        places = np.random.default_rng(room).integers(0, room, (len(order), 256))
-        offset, entries = np.zeros(size, np.int64), np.full(room + size, -1, np.int64)
-        for a, place in zip(order, places, strict=True):
-            b, r = np.array(rows[a], np.int64).T
-            fits = (entries[place[:, None] + b] < 0).all(axis=1)
-            if not fits.any():
+    offset, entries = np.zeros(size, np.int64), np.full(size, -1, np.int64)
+    length = at = 0
+    for a in sorted(rows, key=lambda a: (-len(rows[a]), a)):
+        b, r = np.array(rows[a], np.int64).T
+        if len(b) != length:
+            length, at = len(b), 0
+        span = 256
+        while True:
+            if len(entries) < at + span + size:
+                entries = np.append(entries, np.full(len(entries) + span, -1, np.int64))
+            places = np.arange(at, at + span)
+            for x in b:
+                places = places[entries[places + x] < 0]
+                if not len(places):
+                    break
+            else:
                 break
-            offset[a] = at = place[fits.argmax()]
-            entries[at + b] = a << ID_BITS | r
-        else:
-            return offset, entries
-        room *= 2
+            at, span = at + span, min(4 * span, 1 << 15)
+        offset[a] = at = places[0]
+        entries[at + b] = a << ID_BITS | r
+    return offset, entries[: offset.max() + size].copy()
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:

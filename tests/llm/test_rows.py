@@ -53,6 +53,25 @@ def test_pair_ranks_cover_every_split():
                 assert entries[offset[a] + b] == a << bpe.ID_BITS | rank
 
 
+def test_pair_ranks_are_dense():
+    ranks = bpe.load_ranks(PATH)
+    offset, entries = bpe.pair_ranks(ranks)
+    cuts = [(ranks.get(t[:i]), ranks.get(t[i:]), r) for t, r in ranks.items() for i in range(1, len(t))]
+    pairs = {(a, b): r for a, b, r in cuts if a is not None and b is not None}
+    assert len(entries) < 4 * len(pairs)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(0, len(offset), 7), np.arange(0, len(offset), 97)))
+    told = entries[offset[a] + b]
+    found = np.flatnonzero((told >= 0) & (told >> bpe.ID_BITS == a))
+    low = told[found] & bpe.NONE - 1
+    assert dict(zip(zip(a[found].tolist(), b[found].tolist(), strict=True), low.tolist(), strict=True)) == {
+        (a, b): r for (a, b), r in pairs.items() if a % 7 == 0 and b % 97 == 0
+    }
+    low = entries[[offset[a] + b for a, b in pairs]]
+    assert low.tolist() == [a << bpe.ID_BITS | r for (a, _), r in pairs.items()]
+    alone = {bytes([i]): i for i in range(256)}
+    assert (bpe.pair_ranks(alone)[1] == -1).all()
+
+
 PAGES = "page_id long, url string, html string, extra string"
 
 
