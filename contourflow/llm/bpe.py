@@ -20,7 +20,7 @@ from .common import lean
 #: Words of more bytes are merged by a heap on the executor; the fold's work grows with the square of the length.
 LONGEST_FOLD = 48
 #: Text that a worker turns into one row of words.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 #: Distinct words after which a worker forgets what it has seen; bounds its memory.
 MOST_WORDS = 400_000
 #: Bits of an id.

@@ -31,7 +31,7 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return encode_documents(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return encode_documents(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, batch_bytes="8m")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,18 @@ def test_pair_ranks_are_dense():
     assert (bpe.pair_ranks(alone)[1] == -1).all()
 
 
+def test_bpe_query_bounds_its_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64m")
+        __spark_entry__.queries()["op3_bpe"](spark, SF)
+        assert spark.conf.get(key) == "8m"
+    finally:
+        spark.conf.set(key, before)
+    assert bpe.BATCH_CHARS <= 1 << 18
+
+
 PAGES = "page_id long, url string, html string, extra string"
 
 
